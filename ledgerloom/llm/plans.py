@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus_plans",)
+MODULES = ("history_plans", "corpus_plans")
 
 
 def queries() -> dict:
