@@ -7,7 +7,7 @@ ingestion or one that runs backwards against the sequence of the file's rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import PLAIN, with_instant
@@ -96,3 +96,14 @@ def transaction_days(transactions: DataFrame, statements: DataFrame, *columns: s
     other = rows.where(~plain & F.col("tx_date").isNotNull()).join(transaction_zones(transactions, statements), "statement_id", "left")
     other = with_instant(other, "tx_date", F.col("zone_name"), F.col("day_order")).where("at_day is not null")
     return own.unionByName(other.select(*columns, F.col("at_day").alias("day")))
+
+
+def with_days(transactions: DataFrame, statements: DataFrame, *columns: Column) -> DataFrame:
+    """The given columns of every row and ``day`` as in ``transaction_days``, null where the date can't be read."""
+    plain = F.coalesce(F.trim("tx_date").rlike(PLAIN), F.lit(False))
+    names = [f"_c{k}" for k in range(len(columns))]
+    rows = transactions.select("statement_id", "tx_date", plain.alias("_plain"), *[c.alias(n) for c, n in zip(columns, names, strict=True)])
+    own = rows.where("_plain or tx_date is null").select(*names, F.when(F.col("_plain"), F.trim("tx_date").try_cast("date")).alias("day"))
+    other = rows.where("not _plain and tx_date is not null").join(transaction_zones(transactions, statements), "statement_id", "left")
+    other = with_instant(other, "tx_date", F.col("zone_name"), F.col("day_order"))
+    return own.unionByName(other.select(*names, F.col("at_day").alias("day")))
