@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("history_plans", "name_plans", "corpus_plans")
+MODULES = ("history_plans", "match_plans", "name_plans", "corpus_plans")
 
 
 def queries() -> dict:
