@@ -154,9 +154,9 @@ def w07_gaps(spark, folder):
 CP = """{L}, c AS (SELECT *, debit + credit AS act, CAST(floor(epoch(d) - epoch(min(d) OVER ())) AS BIGINT) // 86400 AS x, row_number() OVER (PARTITION BY entity_id, cp ORDER BY d, oi) AS i, count(*) OVER (PARTITION BY entity_id, cp) AS n FROM L WHERE trim(cp) <> '')"""
 
 
-@query(CP + " SELECT entity_id, cp AS counterparty, n AS transactions, round(coalesce(regr_slope(act, x), 0.0), 3) AS slope, CASE WHEN coalesce(abs(corr(act, x)), 0) < 0.3 THEN 'stable' WHEN corr(act, x) > 0 THEN 'increasing' ELSE 'decreasing' END AS direction FROM c WHERE n >= 3 GROUP BY 1, 2, 3")
+@query(CP + " SELECT entity_id, cp AS counterparty, n AS transactions, round(coalesce(CASE WHEN var_pop(x) > 0 THEN regr_slope(act, x) END, 0.0), 2) AS slope, CASE WHEN coalesce(abs(CASE WHEN var_pop(x) > 0 AND var_pop(act) > 0 THEN corr(act, x) END), 0) < 0.3 THEN 'stable' WHEN corr(act, x) > 0 THEN 'increasing' ELSE 'decreasing' END AS direction FROM c WHERE n >= 3 GROUP BY 1, 2, 3")
 def x10_x13_counterparty_trend(spark, folder):
-    return T.rounded(C.trends(event_ledger(spark, folder)), "slope", places=3)
+    return T.rounded(C.trends(event_ledger(spark, folder)), "slope", places=2)
 
 
 @query(CP + """, g AS (SELECT entity_id, cp, count(*) AS n, sum(debit) AS dr, sum(credit) AS cr, avg(act) AS m, stddev_samp(act) AS s, avg(CASE WHEN act % 1000 = 0 OR act % 500 = 0 THEN 1.0 ELSE 0.0 END) AS r, date_diff('day', CAST(min(d) AS DATE), CAST(max(d) AS DATE)) + 1 AS days FROM c WHERE n >= 3 GROUP BY 1, 2),
