@@ -259,7 +259,7 @@ def learned(counts: dict[int, int], rounds: int = 40, start: Weights = START) ->
     if not total:
         return start
     w = start
-    prior = max(5.0, 0.02 * total)
+    prior = max(100.0, 0.02 * total)
     for _ in range(rounds):
         m = {f: [prior * p for p in start.m[f]] for f in LEVELS}
         u = {f: [prior * p for p in start.u[f]] for f in LEVELS}

@@ -24,7 +24,7 @@ def budgets(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """
     t = targets.where("source is not null").groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).cast("long").alias("max_repeats"))
     t = t.join(sizes, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("available", F.lit(0)).cast("long").alias("available"))
-    total = t.where("target_share > 0").agg(F.coalesce(F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")), F.lit(0.0)).alias("total"))
+    total = t.where("target_share > 0").agg(F.coalesce(F.min(F.try_divide(F.col("available") * F.col("max_repeats"), F.col("target_share"))), F.lit(0.0)).alias("total"))
     return t.crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", "available", F.least(F.floor(F.col("total") * F.col("target_share") + 1e-6), F.col("available") * F.col("max_repeats")).cast("long").alias("budget"))
 
 
@@ -39,7 +39,7 @@ def mixed(counts: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int
     rows = counts.where("source is not null and tokens > 0").withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 54).cast("int") if buckets == 1024 else F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)).cast("int"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
     sizes = sums.groupBy("source").agg(F.sum("in_bucket").alias("available"))
-    plan = budgets(sizes, targets).where("budget > 0").withColumn("epochs", F.floor(F.col("budget") / F.col("available"))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
+    plan = budgets(sizes, targets).where("budget > 0").withColumn("epochs", F.floor(F.try_divide(F.col("budget"), F.col("available")))).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
     along = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # at most ``buckets`` rows a source
     cut = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(along), F.lit(0))).join(plan.select("source", "epochs", "rest"), "source")
     # sources in targets times buckets: a table of fixed size
@@ -57,4 +57,4 @@ def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"))
     out = t.join(used, "source", "left").fillna(0, ["documents", "tokens_used", "most_times"])
     total = F.sum("tokens_used").over(W.partitionBy())  # one row per source
-    return out.withColumn("actual_share", F.when(total > 0, F.col("tokens_used") / total))
+    return out.withColumn("actual_share", F.try_divide(F.col("tokens_used"), total))

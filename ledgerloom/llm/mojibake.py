@@ -193,6 +193,16 @@ def restored(word: str) -> str:
     return best if best_cost <= start - 1.0 else word
 
 
+@lru_cache(maxsize=100_000)
+def script_of(word: str, least: int = 3) -> str | None:
+    """The script, neither Latin nor Devanagari, of a word's letters if they are all of one and at least ``least``."""
+    letters = [c for c in word if c.isalpha()]
+    if len(letters) < least or any(ord(c) < 0x370 for c in letters):
+        return None
+    names = {unicodedata.name(c, "?").split()[0] for c in letters}
+    return names.pop() if len(names) == 1 and "DEVANAGARI" not in names and all(_kind(c) in "op" for c in word) else None
+
+
 class Mender:
     """Mends texts; keeps the answers for up to KEPT words."""
 
@@ -224,15 +234,19 @@ class Mender:
         words = {w for w in SPACE.split(text) if not w.isascii()}
         if ESCAPE.search(text):
             words |= {m.group() for m in WORD.finditer(text)}
+        # a text in another script has words of it that stand: its single letters then are no garbled ones
+        scripts = {x for w in words if (x := script_of(w)) and self.word(w) == w}
         changed = False
         for w in words:
+            if scripts and (script_of(w, 1) or "") in scripts:
+                continue
             if self.word(w) != w:
                 changed = True
                 break
         if not changed:
             left = lost or any("\x80" <= c < "\xa0" for c in text)
             return left, False, text
-        out = WORD.sub(lambda m: self.word(m.group()), text)
+        out = WORD.sub(lambda m: m.group() if scripts and (script_of(m.group(), 1) or "") in scripts else self.word(m.group()), text)
         left = lost or any("\x80" <= c < "\xa0" for c in out)
         return True, not left, out
 

@@ -29,6 +29,8 @@ LEGAL = {
     "enterprises": "ent", "enterprise": "ent", "entp": "ent", "ents": "ent", "ent": "ent", "entr": "ent", "enterpris": "ent", "enterpri": "ent",
     "agencies": "agy", "agency": "agy", "agcy": "agy", "agcs": "agy", "agenci": "agy", "agencie": "agy", "agnc": "agy", "agys": "agy", "agencies.": "agy",
 }
+#: Legal words that a field's end may cut.
+CUT = (("private", "pvt"), ("limited", "ltd"), ("enterprises", "ent"), ("agencies", "agy"))
 #: Keys that lie beside each other on a keyboard, and letters that sound alike.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 ALIKE = {frozenset(p) for p in ("vw", "zj", "iy", "ck", "sz", "ou", "ei", "bv", "gj", "pf", "ks", "xs", "qk", "kc", "oa")}
@@ -113,6 +115,8 @@ def legal_of(words: list[str]) -> tuple[str, list[str]]:
             kinds.append("ltd")
         elif w in LEGAL and (k or len(words) == 1):
             kinds.append(LEGAL[w])
+        elif k > 1 and k == len(words) - 1 and (cut := next((kind for full, kind in CUT if full.startswith(w) and (len(w) > 2 or kinds[-1:] == ["pvt"])), None)):
+            kinds.append(cut)
         else:
             rest.append(w)
     if "llp" in kinds:
@@ -206,7 +210,7 @@ def read_name(name: str, lexicon: Lexicon) -> tuple[str, list[str], str, int, st
     rare = "".join(full)
     if len(full) == 1 and not firm:
         for w in sorted(lexicon.given, key=len, reverse=True):
-            if len(w) >= 4 and len(rare) - len(w) >= 4 and (rare.startswith(w) or rare.endswith(w)):
+            if len(w) >= 5 and len(rare) - len(w) >= 4 and (rare.startswith(w) or rare.endswith(w)):
                 return (rare[len(w) :] if rare.startswith(w) else rare[: -len(w)]), [w], legal, 4, "person"
         if letters:
             return rare, lexicon.by_letter.get(letters[0], []), legal, 1, "person"
@@ -218,7 +222,7 @@ READ = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("rare", T.StringType()), T.StructField("frequent", T.ArrayType(T.StringType())),
     T.StructField("legal", T.StringType()), T.StructField("sure", T.IntegerType()), T.StructField("kind", T.StringType()),
 ])
-WORDS = T.StructType([T.StructField("name", T.StringType()), T.StructField("word", T.StringType()), T.StructField("firm", T.BooleanType())])
+WORDS = T.StructType([T.StructField("partner", T.StringType()), T.StructField("word", T.StringType()), T.StructField("firm", T.BooleanType())])
 
 
 def distinct_names(*columns: DataFrame) -> DataFrame:
@@ -231,11 +235,12 @@ def distinct_names(*columns: DataFrame) -> DataFrame:
 
 
 def lexicon_of(names: DataFrame, nicknames: DataFrame, share: float = 0.0002, least: int = 4) -> Lexicon:
-    """The frequent words of names: in at least ``share`` of the distinct names and ``least`` of them.
+    """The frequent words of names: those that go with at least ``share`` times as many different words as there are names, and ``least``.
 
-    At most words-per-name / share words pass, some thousands whatever the corpus, so they may come to the driver. A word
-    that goes with a legal form in a third of its names or more is a trade. nicknames: given_name, short_form, a table of
-    fixed size; known given names are frequent words too.
+    A given name or a trade goes with many rare parts, a surname with the given names of its kin, however often and however
+    variously it is written. At most words-per-name / share words pass, some thousands whatever the corpus, so they may come
+    to the driver. A word that goes with a legal form in a third of its pairs or more is a trade. nicknames: given_name,
+    short_form, a table of fixed size; known given names are frequent words too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +248,13 @@ def lexicon_of(names: DataFrame, nicknames: DataFrame, share: float = 0.0002, le
             rows = []
             for name in b.column(0).to_pylist():
                 legal, words = words_of(name)
-                rows += [(name, w, bool(legal)) for w in set(words) if len(w) > 2]
+                words = sorted({w for w in words if len(w) > 2})
+                rows += [(v, w, bool(legal)) for w in words for v in words if v != w]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_()))], WORDS.names)
 
     total = names.count()
-    counted = names.mapInArrow(run, WORDS).groupBy("word").agg(F.count("*").alias("n"), F.sum(F.col("firm").cast("long")).alias("f"))
+    pairs = names.mapInArrow(run, WORDS).groupBy("word", "partner").agg(F.max(F.col("firm").cast("int")).alias("firm"))
+    counted = pairs.groupBy("word").agg(F.count("*").alias("n"), F.sum("firm").alias("f"))
     frequent = counted.where(F.col("n") >= max(least, share * total)).collect()
     short: dict[str, list[str]] = {}
     known = set()
