@@ -266,7 +266,7 @@ def lexicon_of(names: DataFrame, nicknames: DataFrame, share: float = 0.0002, le
     n = {r["word"]: r["n"] for r in frequent}
     cut = {t for t in trades if any(shortened(t, w) and n[w] > n[t] for w in trades)}
     first = Lexicon(sorted(set(given) | known), sorted(set(trades) - cut), {k: sorted(v) for k, v in short.items()})
-    return with_learned_nicknames(names, first, known)
+    return with_learned_nicknames(names, first, known, n)
 
 
 def shortened(word: str, full: str) -> bool:
@@ -276,9 +276,9 @@ def shortened(word: str, full: str) -> bool:
     return full.startswith(word) or full.startswith(word.removesuffix("s")) or (not set(word[1:]) & set("aeiou") and lcs(word, full) == len(word))
 
 
-def with_learned_nicknames(names: DataFrame, lexicon: Lexicon, known: set[str], share: float = 0.3) -> Lexicon:
+def with_learned_nicknames(names: DataFrame, lexicon: Lexicon, known: set[str], partners: dict[str, int], share: float = 0.3) -> Lexicon:
     """The lexicon with nicknames learned from the names: a frequent short word is one of a given name if, of the rare parts
-    it goes with, at least ``share`` also go with that given name, which is the more frequent of the two.
+    it goes with, at least ``share`` also go with that given name, which goes with at least twice as many words.
 
     Counts are over all names; what comes to the driver are pairs of frequent words.
     """
@@ -291,7 +291,7 @@ def with_learned_nicknames(names: DataFrame, lexicon: Lexicon, known: set[str],
     met = one.join(read.withColumnRenamed("w", "full"), "rare").where("short <> full").groupBy("short", "full").agg(F.count("*").alias("n")).collect()
     more = {k: list(v) for k, v in lexicon.nicknames.items()}
     for r in met:
-        if r["n"] >= max(2, share * total[r["short"]]) and len(r["full"]) >= len(r["short"]):
+        if r["n"] >= max(2, share * total[r["short"]]) and len(r["full"]) >= len(r["short"]) and partners.get(r["full"], 0) >= 2 * partners.get(r["short"], 0):
             more.setdefault(r["short"], []).append(r["full"])
     gone = {w for w in asked if w in more}
     return Lexicon(sorted(lexicon.given - gone), sorted(lexicon.trades), {k: sorted(set(v) - gone) for k, v in more.items() if set(v) - gone})
