@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.session import shared_dir, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("records", "case_plans", "series_plans", "pattern_plans", "network_plans", "text_plans")
+MODULES = ("records", "case_plans", "series_plans", "pattern_plans", "network_plans", "text_plans", "report_plans")
 
 
 def wrapped(query: Query) -> Query:
