@@ -7,8 +7,8 @@ maximisation over the counts of agreement patterns, a table of fixed size), and
 new links touch; all other rows of the mapping stay as they are.
 
 Blocks are (account, direction, amount in whole units), within them records are compared if their days are at most
-REACH apart or one of them has none. Exact copies are chained to their neighbour and compared once, so a group of copies costs
-what one record costs, whatever its size.
+REACH apart or one of them has none. Of exact copies one is the head, which alone is compared; the others only take the head's
+representative, by a join, so a group of copies costs what one record costs in any task, whatever its size.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ MAPPING = T.StructType([T.StructField("id", T.BinaryType()), T.StructField("rep"
 #: Levels of agreement by field, best first; a pattern is one level of each.
 LEVELS = {"amount": ("same", "rounded"), "balance": ("same", "rounded", "unknown", "other"), "day": ("same", "next", "near", "unknown"), "text": ("same with reference", "same reference", "same", "similar", "unknown", "open", "other")}
 OPEN = LEVELS["text"].index("open")
+COPY = 2 * 4 * 4 * 7  # the pattern of an exact copy, beyond all others
 
 
 def packed(key: Column) -> Column:
@@ -120,7 +121,8 @@ def _fields(t: pa.Table) -> dict[str, np.ndarray]:
 def _pairs(t: pa.Table, own_bucket_only: bool = True) -> pa.RecordBatch:
     """The candidate pairs of whole groups of (block, bucket), sorted by them, then by day and values.
 
-    Rows equal in all but their id are a run: neighbours of a run are linked, and its first row stands for it.
+    Rows equal in all but their id are a run. Its head (the least old id, else the least) stands for it in comparisons; each
+    new row of the run is a copy of the head.
     """
     n = t.num_rows
     r = _fields(t)
@@ -134,11 +136,13 @@ def _pairs(t: pa.Table, own_bucket_only: bool = True) -> pa.RecordBatch:
     first = np.flatnonzero(~same_run)
     run_new = np.zeros(len(first), bool)
     np.logical_or.at(run_new, run, r["new"])
+    head = first.copy()
+    old = np.flatnonzero(~r["new"])
+    least_old = np.full(len(first), n)
+    np.minimum.at(least_old, run[old], old)
+    head = np.where(least_old < n, least_old, head)
+    copy = np.flatnonzero(r["new"] & (head[run] != np.arange(n)))
     left, right = [], []
-    k = np.flatnonzero(same_run)
-    k = k[(r["new"][k] | r["new"][k - 1])]
-    left.append(k - 1)
-    right.append(k)
     group = np.cumsum(~same_group) - 1
     g = group[first]
     step, alive = 1, np.arange(len(first))
@@ -147,7 +151,7 @@ def _pairs(t: pa.Table, own_bucket_only: bool = True) -> pa.RecordBatch:
         alive = alive[g[alive] == g[alive + step]]
         if not len(alive):
             break
-        i, j = first[alive], first[alive + step]
+        i, j = head[alive], head[alive + step]
         di, dj = r["day"][i], r["day"][j]
         ok = (run_new[alive] | run_new[alive + step]) & (dj - di <= REACH)
         left.append(i[ok])
@@ -155,10 +159,11 @@ def _pairs(t: pa.Table, own_bucket_only: bool = True) -> pa.RecordBatch:
         # rows are sorted by day: once the next day is further than REACH away, no later row is nearer
         alive = alive[dj - di <= REACH]
         step += 1
-    i, j = np.concatenate(left), np.concatenate(right)
+    i, j = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
     pattern = _compare(r, i, j)
     keep = _plausible(pattern)
-    i, j, pattern = i[keep], j[keep], pattern[keep]
+    i, j = np.concatenate([i[keep], head[run[copy]]]), np.concatenate([j[keep], copy])
+    pattern = np.concatenate([pattern[keep], np.full(len(copy), COPY, np.int32)])
     ids = t.column("id").combine_chunks()
     return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(r["block"][i]), pa.array(pattern)], LINKS.names)
 
@@ -172,7 +177,7 @@ def candidates(old: DataFrame | None, new: DataFrame) -> DataFrame:
     rows = dated
     if old is not None:
         rows = rows.unionByName(old.withColumn("new", F.lit(False)).select("*", F.explode(F.array_distinct(F.array_compact(F.array(bucket, edge)))).alias("bucket")))
-    rows = rows.where(F.col("day") != NO_DAY).repartition("block", "bucket").sortWithinPartitions("block", "bucket", "day", "cents", "balance", "text_hash", "ref_hash")
+    rows = rows.where(F.col("day") != NO_DAY).repartition("block", "bucket").sortWithinPartitions("block", "bucket", "day", "cents", "balance", "text_hash", "ref_hash", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -318,6 +323,28 @@ def union_find(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "block").repartition("block").sortWithinPartitions("block").mapInArrow(run, MAPPING)
 
 
+def remapped(before: DataFrame, links: DataFrame) -> DataFrame:
+    """The mapping after new links: union-find over representatives, then members of changed clusters take the new one by a join.
+
+    Records of old clusters enter union-find as their representative alone, copies not at all.
+    """
+    rep_of = before.select("id", "rep")
+    core = links.where(F.col("pattern") < COPY)
+    # a copy that is an end of another link too (a record without a day met it by balance) goes with the links
+    met = core.select(F.col("a").alias("b")).unionByName(core.select("b")).distinct()
+    core = core.unionByName(links.where(F.col("pattern") == COPY).join(met, "b", "left_semi").select(*core.columns))
+    ends = core.join(rep_of.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a", "left").join(rep_of.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b", "left")
+    roots = union_find(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "block"))
+    to = roots.select(F.col("id").alias("rep"), F.col("rep").alias("root"))
+    kept = before.join(to, "rep", "left").select("id", F.coalesce("root", "rep").alias("rep"), "block")
+    fresh = roots.join(rep_of.select("id"), "id", "left_anti").select("id", "rep", "block")
+    known = kept.unionByName(fresh)
+    copies = links.where(F.col("pattern") == COPY).join(met, "b", "left_anti").select(F.col("b").alias("id"), F.col("a").alias("head"), "block")
+    placed = copies.join(known.select(F.col("id").alias("head"), "rep"), "head", "left").select("id", F.coalesce("rep", "head").alias("rep"), "block", "head", F.col("rep").isNull().alias("lone"))
+    heads = placed.where("lone").select(F.col("head").alias("id"), F.col("head").alias("rep"), "block").distinct()
+    return known.unionByName(placed.select("id", "rep", "block")).unionByName(heads)
+
+
 class History:
     """What was accepted so far, in a folder that all executors share."""
 
@@ -358,17 +385,11 @@ class History:
         judged = with_texts(found, batch if texts is None else texts)
         judged = judged.dropDuplicates(["a", "b"])
         if self.weights is None:
-            self.weights = learned({r["pattern"]: r["n"] for r in judged.groupBy("pattern").agg(F.count("*").alias("n")).collect()})
-        good = [p for p in range(2 * 4 * 4 * 7) if self.weights.score(p) > 0]
-        links = judged.where(F.col("pattern").isin(good))
-        links.write.mode("overwrite").parquet(f"{self.path}/links-{k}")
+            self.weights = learned({r["pattern"]: r["n"] for r in judged.where(F.col("pattern") < COPY).groupBy("pattern").agg(F.count("*").alias("n")).collect()})
+        good = [p for p in range(COPY) if self.weights.score(p) > 0]
+        judged.where(F.col("pattern").isin([*good, COPY])).write.mode("overwrite").parquet(f"{self.path}/links-{k}")
         links = self._read(f"links-{k}", LINKS)
-        before = self.mapping()
-        touched = links.select("block").distinct()
-        affected = before.join(touched, "block", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"), "block")
-        fresh = union_find(links.select("a", "b", "block").unionByName(affected))
-        after = before.join(touched, "block", "left_anti").select("id", "rep", "block").unionByName(fresh) if k else fresh
-        after.write.mode("overwrite").parquet(f"{self.path}/mapping-{k}")
+        remapped(self.mapping(), links).write.mode("overwrite").parquet(f"{self.path}/mapping-{k}")
         self.batches = k + 1
         return links
 
