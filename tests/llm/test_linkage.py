@@ -74,6 +74,15 @@ def test_other_movements_are_kept_apart(spark):
     assert not {x for p in pairs(h.mapping()).collect() for x in p} & set("abcd")
 
 
+def test_a_copy_met_by_balance_joins_all(spark):
+    copies = [(f"k{k}", "A", "e", "f", "2024-03-01", "NEFT/123456789012/X", Decimal(5), "DR", None, None, None, Decimal(7), 1, 1) for k in range(4)]
+    lone = ("n", "A", "e", "f", "unreadable", "NEFT/123456789012/X", Decimal(5), "DR", None, None, None, Decimal(7), 1, 1)
+    t, f = frames(spark, [*copies, lone])
+    h = History(spark)
+    h.accept(t, f)
+    assert [(r.transaction_id, r.copies) for r in clusters(h.mapping()).orderBy("transaction_id").collect()] == [(k, 5) for k in ("k0", "k1", "k2", "k3", "n")]
+
+
 def test_history_of_nulls_copies_and_nothing(spark):
     same = [(f"k{k:03}", "A", "e", "f", "2024-03-01", "NEFT/123456789012/X", Decimal(5), "DR", None, None, None, Decimal(7), 1, 1) for k in range(300)]
     odd = [("n1", None, None, None, None, None, Decimal(1), None, None, None, None, None, None, None), (None, "A", None, None, None, None, None, None, None, None, None, None, None, 1), ("n2", "A", None, None, "never", None, Decimal(5), "DR", None, None, None, None, None, 1)]
