@@ -89,3 +89,19 @@ def g22_entity_report(spark, folder):
     r = entity_risk(table(spark, folder, "transactions"))
     advice = F.array_compact(F.array(F.when(F.array_contains("factors", "mostly cash"), "verify the source of cash"), F.when(F.array_contains("factors", "high volume"), "request statements of all accounts"), F.when(F.array_contains("factors", "large single amount"), "examine the largest movements")))
     return r.withColumn("recommendations", F.array_join(advice, "; ")).withColumn("factors", F.array_join("factors", "; "))
+
+
+@query()
+def g19_groups(spark, folder):
+    from ledgerloom.operators import grouping
+
+    return grouping.grouped(grouping.entity_features(event_ledger(spark, folder))).select("entity_id", "group")
+
+
+@query()
+def f04_chunks(spark, folder):
+    """Rows of each entity in chunks of at most 500 characters of description."""
+    from ledgerloom.operators.stores import chunks
+
+    led = event_ledger(spark, folder).select("entity_id", "transaction_id", F.length("DESCRIPTION").alias("size"))
+    return chunks(led, "entity_id", ["transaction_id"], "size", 500)
