@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import flows, graph
@@ -14,8 +13,13 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 E_SQL = EVENT_SQL + """, R AS (SELECT CASE WHEN direction = 'DR' THEN 'entity_' || entity_id ELSE 'external_' || trim(cp) END AS src, CASE WHEN direction = 'DR' THEN 'external_' || trim(cp) ELSE 'entity_' || entity_id END AS dst, amount, d, transaction_id FROM L WHERE trim(cp) <> ''),
  E AS (SELECT src, dst, sum(amount) AS total, count(*) AS n, max(d) AS last_at FROM R GROUP BY 1, 2)"""
-NATION_SQL = """F0 AS (SELECT 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS src, 'N' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS dst, l_extendedprice AS amount, l_shipdate AS d, l_orderkey * 10 + l_linenumber AS transaction_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
- F1 AS (SELECT src, dst, sum(amount) AS total, count(*) AS n FROM F0 WHERE src <> dst GROUP BY 1, 2), F AS (SELECT src, dst, total, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(total, 2) DESC, dst) AS r FROM F1) WHERE r <= 3)"""
+NATION_SQL = """F0 AS (SELECT 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS src, 'N' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS dst, l_extendedprice AS amount, l_shipdate AS d, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS transaction_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+ F AS (SELECT src, dst, sum(amount) AS total, count(*) AS n FROM F0 WHERE src <> dst GROUP BY 1, 2)"""
+
+
+def line_key():
+    """An order line is told by all four keys: line numbers repeat within an order."""
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -37,13 +41,12 @@ def event_rows(spark, folder) -> DataFrame:
 
 
 def nation_edges(spark, folder) -> DataFrame:
-    """Trade between nations of customers and suppliers, the three largest edges of each nation: a small network with cycles."""
+    """Trade between nations of customers and suppliers: a small, dense network."""
     name = lambda c: F.concat(F.lit("N"), F.lpad(F.col(c).cast("string"), 2, "0"))
     li = table(spark, folder, "lineitem").join(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     li = li.join(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = li.where("c_nationkey <> s_nationkey").select(name("c_nationkey").alias("src"), name("s_nationkey").alias("dst"), F.col("l_extendedprice").alias("amount"), F.col("l_shipdate").cast("timestamp").alias("DATE"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("transaction_id"))
-    e = graph.folded(rows)
-    return e.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy(F.desc(F.round("total", 2)), "dst"))).where("r <= 3").drop("r")
+    rows = li.where("c_nationkey <> s_nationkey").select(name("c_nationkey").alias("src"), name("s_nationkey").alias("dst"), F.col("l_extendedprice").alias("amount"), F.col("l_shipdate").cast("timestamp").alias("DATE"), line_key().alias("transaction_id"))
+    return graph.folded(rows)
 
 
 @query("{E} SELECT src, dst, round(total, 2) AS total, n FROM E")
@@ -63,12 +66,12 @@ def g15_a22_overview(spark, folder):
     return graph.overview(graph.edges(event_ledger(spark, folder))).select("nodes", "edges", F.round("density", 6).alias("density"), F.round("reciprocity", 6).alias("reciprocity"), F.round("volume", 2).alias("volume"))
 
 
-@query("""{N}, P(s0, path, here, k) AS (SELECT src, [src, dst], dst, 2 FROM F WHERE dst > src UNION ALL SELECT s0, list_append(path, dst), dst, k + 1 FROM P JOIN F ON F.src = P.here WHERE k < 5 AND dst > s0 AND NOT list_contains(path, dst))
+@query("""{N}, P(s0, path, here, k) AS (SELECT src, [src, dst], dst, 2 FROM F WHERE dst > src UNION ALL SELECT s0, list_append(path, dst), dst, k + 1 FROM P JOIN F ON F.src = P.here WHERE k < 4 AND dst > s0 AND NOT list_contains(path, dst))
  SELECT array_to_string(path, '>') AS path, k AS length FROM P JOIN F ON F.src = P.here AND F.dst = P.s0 WHERE k >= 3""")
 def g02_cycles(spark, folder):
     from ledgerloom.session import stored
 
-    return graph.cycles(stored(nation_edges(spark, folder), "edges"), 3, 5).select(F.array_join("path", ">").alias("path"), "length")
+    return graph.cycles(stored(nation_edges(spark, folder), "edges"), 3, 4).select(F.array_join("path", ">").alias("path"), "length")
 
 
 @query()
@@ -76,7 +79,7 @@ def g03_g09_cycle_scores(spark, folder):
     from ledgerloom.session import stored
 
     e = stored(nation_edges(spark, folder), "edges")
-    return graph.cycle_scores(graph.cycles(e, 3, 5), e)
+    return graph.cycle_scores(graph.cycles(e, 3, 4), e)
 
 
 @query("""{E}, g AS (SELECT src, avg(CASE WHEN amount >= 8000 AND amount < 10000 THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN amount >= 4000 AND amount < 5000 THEN 1.0 ELSE 0.0 END) AS b, avg(CASE WHEN amount >= 2400 AND amount < 3000 THEN 1.0 ELSE 0.0 END) AS c, avg(CASE WHEN amount % 100 = 0 THEN 1.0 ELSE 0.0 END) AS r, count(*) AS n FROM R GROUP BY 1),
@@ -114,17 +117,17 @@ def a24_concentration(spark, folder):
 
 
 WEEK = 7 * 86_400_000_000
-FLOW_SQL = """WITH V AS (SELECT l_orderkey * 10 + l_linenumber AS id, epoch_us(l_shipdate) AS t, CASE WHEN l_returnflag = 'R' THEN 'S' || l_suppkey ELSE 'C' || o_custkey END AS source, CASE WHEN l_returnflag = 'R' THEN 'C' || o_custkey ELSE 'S' || l_suppkey END AS target, l_extendedprice AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_extendedprice >= {T}),
+FLOW_SQL = """WITH V AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_orderkey AS ok, epoch_us(l_shipdate) AS t, CASE WHEN l_returnflag = 'R' THEN 'S' || l_suppkey ELSE 'C' || o_custkey END AS source, CASE WHEN l_returnflag = 'R' THEN 'C' || o_custkey ELSE 'S' || l_suppkey END AS target, l_extendedprice AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_extendedprice >= {T}),
  J AS (SELECT a.id AS a, b.id AS b, a.target AS node, a.source AS a_source, b.target AS b_target FROM V a JOIN V b ON a.target = b.source AND a.id <> b.id AND b.t - a.t BETWEEN 0 AND 604800000000)"""
-LEAST_FLOW = 80_000
+LEAST_FLOW = 0
 
 
 def order_flows(spark, folder, least: float = LEAST_FLOW) -> DataFrame:
-    """id, t, source, target, amount: order lines as payments from customer to supplier, returned ones the other way; amounts of ``least`` or more (the event filter)."""
+    """id, ok, t, source, target, amount: order lines as payments from customer to supplier, returned ones the other way; amounts of ``least`` or more (the event filter; all by default)."""
     li = table(spark, folder, "lineitem").where(F.col("l_extendedprice") >= least).join(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     s, c = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
     back = F.col("l_returnflag") == "R"
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("t"), F.when(back, s).otherwise(c).alias("source"), F.when(back, c).otherwise(s).alias("target"), F.col("l_extendedprice").alias("amount"))
+    return li.select(line_key().alias("id"), F.col("l_orderkey").alias("ok"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("t"), F.when(back, s).otherwise(c).alias("source"), F.when(back, c).otherwise(s).alias("target"), F.col("l_extendedprice").alias("amount"))
 
 
 @query(FLOW_SQL.replace("{T}", str(LEAST_FLOW)) + " SELECT a, b, node FROM J")
@@ -138,10 +141,10 @@ def g25_branches(spark, folder):
     return flows.branches(flows.adjacency(order_flows(spark, folder), WEEK))
 
 
-@query(FLOW_SQL.replace("{T}", str(LEAST_FLOW)) + """, c AS (SELECT *, id // 1000 AS g FROM V), k AS (SELECT *, CASE WHEN lag(target) OVER w IS NULL OR lag(target) OVER w <> source OR t - lag(t) OVER w > 604800000000 THEN 1 ELSE 0 END AS brk FROM c WINDOW w AS (PARTITION BY g ORDER BY t, id)),
+@query(FLOW_SQL.replace("{T}", str(LEAST_FLOW)) + """, c AS (SELECT *, ok // 100 AS g FROM V), k AS (SELECT *, CASE WHEN lag(target) OVER w IS NULL OR lag(target) OVER w <> source OR t - lag(t) OVER w > 604800000000 THEN 1 ELSE 0 END AS brk FROM c WINDOW w AS (PARTITION BY g ORDER BY t, id)),
  r AS (SELECT *, sum(brk) OVER (PARTITION BY g ORDER BY t, id) AS run FROM k) SELECT g AS grp, run, count(*) AS events, round(sum(amount), 2) AS total FROM r GROUP BY 1, 2 HAVING count(*) >= 2""")
 def w09_runs(spark, folder):
-    ev = order_flows(spark, folder).withColumn("grp", F.floor(F.col("id") / 1000))
+    ev = order_flows(spark, folder).withColumn("grp", F.floor(F.col("ok") / 100))
     return flows.runs(ev, WEEK, "grp").select("grp", "run", "events", F.round("total", 2).alias("total"))
 
 
