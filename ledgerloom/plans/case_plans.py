@@ -39,7 +39,7 @@ def s02_page(spark, folder):
 
 @query("{S} SELECT transaction_id, descr AS description, cp AS counterparty, debit, credit, balance, oi AS original_index FROM S")
 def s03_standardise(spark, folder):
-    return store_ledger(spark, folder).select("transaction_id", F.col("DESCRIPTION").alias("description"), "counterparty", F.col("DEBIT").alias("debit"), F.col("CREDIT").alias("credit"), "balance", "original_index")
+    return store_ledger(spark, folder, dated=False).select("transaction_id", F.col("DESCRIPTION").alias("description"), "counterparty", F.col("DEBIT").alias("debit"), F.col("CREDIT").alias("credit"), "balance", "original_index")
 
 
 @query("SELECT o_orderkey AS transaction_id, epoch_us(o_orderdate) AS tx_micros, 0.0 AS debit, o_totalprice AS credit, '' AS description FROM orders")
@@ -135,7 +135,7 @@ def _p09(spark, folder):
 
 @query("{S} SELECT count(*) AS total_count, round(coalesce(sum(amount), 0.0), 2) AS total_amount FROM S WHERE trim(cp) = ''", "pred_p10_search_summary")
 def _p10(spark, folder):
-    return S.summary(S.search(store_ledger(spark, folder), status="Failed")).withColumn("total_amount", F.round("total_amount", 2))
+    return S.summary(S.search(store_ledger(spark, folder, dated=False), status="Failed")).withColumn("total_amount", F.round("total_amount", 2))
 
 
 @query("SELECT account_id, bank_name, status FROM accounts WHERE status = 'Active' AND contains(lower(coalesce(bank_name, '')), 'bank')", "pred_p11_account_search")
@@ -188,7 +188,7 @@ def _p21(spark, folder):
 
 @query("{S} SELECT count(*) AS n, count(DISTINCT entity_id) AS entities, count(DISTINCT account_id) AS accounts FROM S")
 def j01_ledger_join(spark, folder):
-    return store_ledger(spark, folder).agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("entities"), F.countDistinct("account_id").alias("accounts"))
+    return store_ledger(spark, folder, dated=False).agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("entities"), F.countDistinct("account_id").alias("accounts"))
 
 
 @query("""SELECT c.case_id, count(DISTINCT ce.entity_id) AS entities, count(DISTINCT a.account_id) AS accounts, count(DISTINCT b.statement_id) AS statements FROM cases c LEFT JOIN case_entities ce ON ce.case_id = c.case_id LEFT JOIN accounts a ON a.entity_id = ce.entity_id

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.instants import with_days
 from ledgerloom.sources.tables import table
 
 REQUIRED = {"DATE": "timestamp", "DEBIT": "double", "CREDIT": "double", "DESCRIPTION": "string"}
@@ -49,11 +50,21 @@ def event_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return standardised(raw)
 
 
-def store_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """The transactions of the store joined with their entities and accounts; DATE is the plain date, null in other notations."""
+def store_ledger(spark: SparkSession, folder: str, dated: bool = True) -> DataFrame:
+    """The transactions of the store joined with their entities and accounts.
+
+    DATE is the row's day in its file's zone, whatever its notation, and null where tx_date can't be read; without
+    ``dated`` it is left out, and no date is read.
+    """
     t, e, a = (table(spark, folder, n) for n in ("transactions", "entities", "accounts"))
-    plain = F.when(F.trim("tx_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.trim("tx_date").try_cast("date"))
-    t = t.select("transaction_id", "entity_id", "account_id", "statement_id", plain.alias("DATE"), F.col("description").alias("DESCRIPTION"), F.col("amount").cast("double"), "direction", F.col("counterparty_merged").alias("counterparty"), F.col("balance").cast("double"), "original_index")
+    columns = {
+        "transaction_id": F.col("transaction_id"), "entity_id": F.col("entity_id"), "account_id": F.col("account_id"), "statement_id": F.col("statement_id"), "DESCRIPTION": F.col("description"),
+        "amount": F.col("amount").cast("double"), "direction": F.col("direction"), "counterparty": F.col("counterparty_merged"), "balance": F.col("balance").cast("double"), "original_index": F.col("original_index"),
+    }
+    if dated:
+        t = with_days(t, table(spark, folder, "bank_statements"), *columns.values()).toDF(*columns, "DATE")
+    else:
+        t = t.select(*[c.alias(n) for n, c in columns.items()])
     e = e.select("entity_id", "entity_name", "entity_type")
     a = a.select("account_id", "account_number", "account_name", "bank_name")
     return standardised(t.join(e, "entity_id").join(a, "account_id"))
