@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TILE = 128
+#: What is summed by day: rows; cents and rows with an amount, by direction.
+SUMS = ("n", "dr", "cr", "n_dr", "n_cr")
 
 
 def daily(rows: DataFrame, entity: str = "entity_id", day: str = "day", amount: str = "amount", direction: str = "direction") -> DataFrame:
-    """entity, day, n, dr, cr: rows and cents by direction (dr: DR, cr: CR; other directions and null amounts count in n only)."""
+    """entity, day, n, dr, cr, n_dr, n_cr: rows, cents and rows with an amount by direction (other directions and null amounts count in n only)."""
     cents = lambda side: F.coalesce(F.sum(F.when(F.col(direction) == side, (F.col(amount) * 100).cast("long"))), F.lit(0))
+    paid = lambda side: F.count(F.when(F.col(direction) == side, F.col(amount)))
     rows = rows.where(F.col(entity).isNotNull() & F.col(day).isNotNull())
-    return rows.groupBy(F.col(entity).alias("entity"), F.col(day).alias("day")).agg(F.count("*").alias("n"), cents("DR").alias("dr"), cents("CR").alias("cr"))
+    return rows.groupBy(F.col(entity).alias("entity"), F.col(day).alias("day")).agg(F.count("*").alias("n"), cents("DR").alias("dr"), cents("CR").alias("cr"), paid("DR").alias("n_dr"), paid("CR").alias("n_cr"))
 
 
 def band(tile: int, halo: int, window: int) -> np.ndarray:
@@ -42,14 +45,14 @@ def _tiles(sums: DataFrame, halo: int, tile: int) -> DataFrame:
     reach = F.array_distinct(F.array(own, F.floor((F.col("d") + halo) / tile)))
     if halo > tile:
         reach = F.sequence(own, F.floor((F.col("d") + halo) / tile))
-    cell = marked.select("entity", "d", "n", "dr", "cr", F.explode(reach).alias("tile"))
-    packed = cell.groupBy("entity", "tile").agg(F.collect_list(F.struct((F.col("d") - F.col("tile") * tile + halo).cast("int").alias("k"), "n", "dr", "cr")).alias("days"))
+    cell = marked.select("entity", "d", *SUMS, F.explode(reach).alias("tile"))
+    packed = cell.groupBy("entity", "tile").agg(F.collect_list(F.struct((F.col("d") - F.col("tile") * tile + halo).cast("int").alias("k"), *SUMS)).alias("days"))
     every = span.select("entity", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / tile), F.floor(F.col("last") / tile))).alias("tile"))
     return every.join(packed, ["entity", "tile"], "left").select("entity", "tile", F.col("first").cast("long"), F.col("last").cast("long"), "days")
 
 
 def _blocks(batch: pa.RecordBatch, halo: int, tile: int):
-    """Dense (rows, halo + tile) blocks of n, dr and cr of one batch of tiles, and each row's first and last place."""
+    """Dense (rows, halo + tile) blocks of each of SUMS of one batch of tiles, and each row's first and last place."""
     days = batch.column("days")
     if not isinstance(days, pa.ListArray):
         days = days.cast(pa.list_(days.type.value_type))
@@ -57,7 +60,7 @@ def _blocks(batch: pa.RecordBatch, halo: int, tile: int):
     flat = days.flatten()
     place = np.asarray(flat.field("k"))
     blocks = {}
-    for name in ("n", "dr", "cr"):
+    for name in SUMS:
         block = np.zeros((len(days), halo + tile), np.int64)
         block[row, place] = np.asarray(flat.field(name))
         blocks[name] = block
@@ -75,13 +78,13 @@ def _times(block: np.ndarray, operator: np.ndarray) -> np.ndarray:
 
 
 def trailing(sums: DataFrame, windows: Sequence[int] = (7, 30), tile: int = TILE) -> DataFrame:
-    """entity, day and for each window w: n_w, dr_w, cr_w (cents), for every day from an entity's first to its last.
+    """entity, day and for each window w: n_w, dr_w, cr_w (cents), n_dr_w, n_cr_w, for every day from an entity's first to its last.
 
-    sums: entity, day, n, dr, cr as from ``daily``, one row per entity and day. An empty table gives no rows.
+    sums: entity, day, n, dr, cr, n_dr, n_cr as from ``daily``, one row per entity and day. An empty table gives no rows.
     """
     halo = max(windows) - 1
     operators = {w: band(tile, halo, w) for w in windows}
-    fields = [("entity", T.StringType()), ("day", T.DateType())] + [(f"{c}_{w}", T.LongType()) for w in windows for c in ("n", "dr", "cr")]
+    fields = [("entity", T.StringType()), ("day", T.DateType())] + [(f"{c}_{w}", T.LongType()) for w in windows for c in SUMS]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +95,10 @@ def trailing(sums: DataFrame, windows: Sequence[int] = (7, 30), tile: int = TILE
                 rows, place = np.nonzero(inside)
                 out = [b.column("entity").take(pa.array(rows)), pa.array((start[rows] + place).astype(np.int32)).cast(pa.date32())]
                 for w in windows:
-                    out += [pa.array(_times(blocks[c], operators[w])[rows, place]) for c in ("n", "dr", "cr")]
+                    out += [pa.array(_times(blocks[c], operators[w])[rows, place]) for c in SUMS]
                 yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    tiles = _tiles(sums.select(F.col("entity").cast("string"), "day", "n", "dr", "cr"), halo, tile)
+    tiles = _tiles(sums.select(F.col("entity").cast("string"), "day", *SUMS), halo, tile)
     return tiles.mapInArrow(run, schema)
 
 
@@ -114,5 +117,5 @@ def quiet(sums: DataFrame, window: int = 30, tile: int = TILE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("entity").take(pa.array(rows)), pa.array((start[rows] + place).astype(np.int32)).cast(pa.date32())], schema.names)
 
     zero = F.lit(0).cast("long")
-    tiles = _tiles(sums.select(F.col("entity").cast("string"), "day", "n", zero.alias("dr"), zero.alias("cr")), halo, tile)
+    tiles = _tiles(sums.select(F.col("entity").cast("string"), "day", "n", *[zero.alias(c) for c in SUMS[1:]]), halo, tile)
     return tiles.mapInArrow(run, schema)

@@ -42,10 +42,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_rolling(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals and averages by direction over the last 7 and 30 days, of each entity and day; averages are per row."""
+    """Totals and averages by direction over the last 7 and 30 days, of each entity and day; averages are per row that has an amount, null where there is none."""
     out = rolling.trailing(_sums(spark, folder), (7, 30))
     money = [(F.col(f"{c}_{w}") / 100).cast("decimal(20,2)").alias(f"{c}_total_{w}d") for w in (7, 30) for c in ("dr", "cr")]
-    means = [F.when(F.col(f"n_{w}") > 0, (F.col(f"dr_{w}") + F.col(f"cr_{w}")) / 100 / F.col(f"n_{w}")).alias(f"mean_{w}d") for w in (7, 30)]
+    mean = lambda cents, n, name: F.when(n > 0, cents / 100 / n).alias(name)
+    means = [mean(F.col(f"{x}_{w}"), F.col(f"n_{x}_{w}"), f"{x}_mean_{w}d") for w in (7, 30) for x in ("dr", "cr")]
+    means += [mean(F.col(f"dr_{w}") + F.col(f"cr_{w}"), F.col(f"n_dr_{w}") + F.col(f"n_cr_{w}"), f"mean_{w}d") for w in (7, 30)]
     return out.select(F.col("entity").alias("entity_id"), "day", F.col("n_7").alias("rows_7d"), F.col("n_30").alias("rows_30d"), *money, *means)
 
 
