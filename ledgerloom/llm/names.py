@@ -3,7 +3,8 @@
 A name is read into a rare part (a surname, a firm's own word), a frequent part (a given name, a trade) and a legal form.
 Which words are frequent is counted over all names. Rare parts are blocked by their suffixes above a minimum length,
 written forward and backward, and every short suffix is refined by the frequent part before it is used, so that no
-common suffix need be discarded. Pairs are compared by the ratio of their longest common subsequence and by whether a slip
+common suffix need be discarded. Rare parts too short to keep a whole suffix through a slip are also blocked by what is left
+of them without a letter. Pairs are compared by the ratio of their longest common subsequence and by whether a slip
 of typing tells one from the other. Links that need no guess come first and make parties; a spelling that leaves something
 out (an initial, a nickname, a firm's word alone, a cut end) joins a party only if there is just one it fits.
 """
@@ -37,6 +38,7 @@ ALIKE = {frozenset(p) for p in ("vw", "zj", "iy", "ck", "sz", "ou", "ei", "bv",
 LEAST = 3  # letters of the shortest suffix
 FREE = 6  # letters of the shortest suffix that is used without the frequent part
 RATIO = 0.75
+SLIP, BARE_SLIP = 5, 7  # letters of the shortest rare part in which a slip is forgiven, with a frequent part and without
 
 
 def _near_keys() -> set[frozenset[str]]:
@@ -327,11 +329,19 @@ def suffixes(rare: str) -> list[str]:
     return [rare[k:] for k in range(len(rare) - LEAST + 1)] + ["<" + back[k:] for k in range(len(rare) - LEAST + 1)]
 
 
+def worn(rare: str) -> set[str]:
+    """The rare part itself, without each of its letters, and without each ee, oo or aa: any two that a slip tells apart share one."""
+    one = {rare[:k] + rare[k + 1 :] for k in range(len(rare))}
+    return {rare} | one | {rare[:k] + rare[k + 2 :] for k in range(len(rare) - 1) if rare[k : k + 2] in ("ee", "oo", "aa")}
+
+
 def suffix_index(cls: DataFrame) -> DataFrame:
-    """cid and key: hashes of (suffix, frequent word) for each suffix, and of (suffix, any) for suffixes of FREE letters or more.
+    """cid and key: hashes of (suffix, frequent word) for the suffixes of LEAST letters, of (suffix, any) for those of FREE
+    letters, of the whole rare part in both forms, and of what a slip leaves of a shorter one.
 
-    Only the two longest suffixes that a slip can leave whole are needed at each length, but all are indexed: a pair that
-    shares a long suffix shares its shorter ones, and pairs are made distinct.
+    A pair that shares a longer suffix shares that of LEAST or FREE letters. A slip leaves all but two letters before and
+    behind it, so of a rare part of more than twice as many letters it leaves such a suffix whole; up to there, from the
+    length at which ``link_of`` admits a slip, the keys of ``worn`` bring the pair together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,11 +354,15 @@ def suffix_index(cls: DataFrame) -> DataFrame:
                     continue
                 found = set()
                 for s in suffixes(rare):
-                    # shorter suffixes of the same run are implied by the key of the shortest that a partner can share
+                    # longer suffixes of the same run are implied by the key of the shortest that a partner can share
                     if len(s.lstrip("<")) in (LEAST, len(rare)):
                         found |= {f"{s}|{w}" for w in frequent}
                     if len(s.lstrip("<")) in (FREE, len(rare)):
                         found.add(f"{s}|")
+                if SLIP <= len(rare) <= 2 * LEAST:
+                    found |= {f"~{v}|{w}" for v in worn(rare) for w in frequent}
+                if BARE_SLIP <= len(rare) <= 2 * FREE:
+                    found |= {f"~{v}|" for v in worn(rare)}
                 ids += [cid] * len(found)
                 keys += [xxhash.xxh64_intdigest(x) - (1 << 63) for x in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], KEYS.names)
@@ -376,7 +390,7 @@ def link_of(x: tuple, y: tuple) -> bool | None:
     short, long = (ra, rb) if len(ra) <= len(rb) else (rb, ra)
     if ra == rb:
         key = 2
-    elif len(short) >= 5 and ratio(ra, rb) >= RATIO and slip(ra, rb):
+    elif len(short) >= SLIP and ratio(ra, rb) >= RATIO and slip(ra, rb):
         key = 1
     elif len(short) >= 4 and long.startswith(short) and fa and fb:
         key = 0
@@ -386,7 +400,7 @@ def link_of(x: tuple, y: tuple) -> bool | None:
     if full and key and (la == lb or {la, lb} == {"pvtltd", "pvt"}):
         return True
     if not fa or not fb:  # a rare part alone, only if it is written right or almost
-        return False if key == 2 or (key == 1 and len(short) >= 7) else None
+        return False if key == 2 or (key == 1 and len(short) >= BARE_SLIP) else None
     return False
 
 
