@@ -5,6 +5,8 @@ Events: id, t (micros), source, target, amount.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,20 +38,24 @@ def branches(adjacent: DataFrame) -> DataFrame:
     return j.select("id", ((F.col("successors") > 1) & (F.col("targets") > 1)).alias("splits"), ((F.col("predecessors") > 1) & (F.col("sources") > 1)).alias("merges"))
 
 
-def chains(events: DataFrame, gap: int, most: int = 6, beam: int = 8) -> DataFrame:
-    """path (event ids joined), events, total, start, end: chains of two to ``most`` events; at each length the ``beam`` best a last event are kept.
+def chains(events: DataFrame, gap: int, most: int | None = None, beam: int = 8) -> DataFrame:
+    """path (event ids joined), events, total, start, end: chains of two or more events, at most ``most`` if given; at each length the ``beam`` best a last event are kept.
 
-    Best: the larger total, then the smaller path. The beam bounds the work; it is the operator's documented feature.
+    Best: the larger total, then the smaller path. The beam bounds the work; it is the operator's documented feature. No
+    event comes twice in a chain, so chains of events of the same moment end too, and lengths go on until none is left.
     """
     adj = stored(adjacency(events, gap).select("a", "b"), "adjacent")
     e = events.select("id", "amount", "source", "target")
     level = e.select(F.col("id").cast("string").alias("path"), F.col("id").alias("last"), F.lit(1).alias("events"), F.col("amount").alias("total"), F.col("source").alias("start"), F.col("target").alias("end"))
-    out = None
-    for _ in range(2, most + 1):
+    out = level.where("false")
+    for _ in itertools.count() if most is None else range(most - 1):
         step = level.join(adj, level["last"] == adj["a"]).join(e.select(F.col("id").alias("b"), F.col("amount").alias("x"), F.col("target").alias("to")), "b")
+        step = step.where(~F.array_contains(F.split("path", ">"), F.col("b").cast("string")))
         step = step.select(F.concat_ws(">", "path", F.col("b").cast("string")).alias("path"), F.col("b").alias("last"), (F.col("events") + 1).alias("events"), (F.col("total") + F.col("x")).alias("total"), "start", F.col("to").alias("end"))
         level = stored(step.withColumn("r", F.row_number().over(W.partitionBy("last").orderBy(F.desc("total"), "path"))).where(F.col("r") <= beam).drop("r"), "chains")
-        out = level if out is None else out.unionAll(level)
+        if level.isEmpty():
+            break
+        out = out.unionAll(level)
     return out.withColumn("is_cycle", F.col("start") == F.col("end"))
 
 

@@ -150,7 +150,7 @@ def w09_runs(spark, folder):
 
 @query()
 def g24_t03_chains(spark, folder):
-    return flows.chains(order_flows(spark, folder), WEEK, most=4)
+    return flows.chains(order_flows(spark, folder), WEEK)
 
 
 @query()
@@ -158,7 +158,7 @@ def g26_t04_hubs(spark, folder):
     from ledgerloom.session import stored
 
     ev = stored(order_flows(spark, folder), "flows")
-    return flows.hubs(stored(flows.chains(ev, WEEK, most=3), "chains"), ev)
+    return flows.hubs(stored(flows.chains(ev, WEEK), "chains"), ev)
 
 
 @query("{E} SELECT src, dst, round(total / max(total) OVER (), 6) AS width FROM E")
