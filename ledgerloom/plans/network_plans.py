@@ -96,7 +96,7 @@ def g20_g21_smurfing(spark, folder):
 
 @query()
 def g13_page_rank(spark, folder):
-    return graph.page_rank(nation_edges(spark, folder))
+    return graph.page_rank(graph.edges(event_ledger(spark, folder)))
 
 
 @query("""{E} SELECT count(DISTINCT node) AS nodes, 1 AS components FROM (SELECT src AS node FROM E UNION SELECT dst FROM E)""", "g15_component_count")
