@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import drift, instants, rejects, rolling
 from ledgerloom.plans.record_sql import SQL  # noqa: F401
+from ledgerloom.session import stored
 from ledgerloom.sources.tables import table
 
 
@@ -37,13 +38,13 @@ def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sums(spark: SparkSession, folder: str) -> DataFrame:
     days = instants.transaction_days(table(spark, folder, "transactions"), table(spark, folder, "bank_statements"), "entity_id", "amount", "direction")
-    return rolling.daily(days)
+    return stored(rolling.daily(days), "days")  # read twice: for the spans and for the tiles
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     days = instants.transaction_days(table(spark, folder, "transactions"), table(spark, folder, "bank_statements"), "entity_id")
     days = days.where("entity_id is not null").select(F.col("entity_id").alias("entity"), "day").distinct()
-    return rolling.quiet(days, 30).select(F.col("entity").alias("entity_id"), F.date_format("day", "yyyy-MM-dd").alias("quiet_day"))
+    return rolling.quiet(stored(days, "days"), 30).select(F.col("entity").alias("entity_id"), F.date_format("day", "yyyy-MM-dd").alias("quiet_day"))
 
 
 def _money(cents: Column) -> Column:
