@@ -57,17 +57,28 @@ def test_no_header_empty_and_unknown_width(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet='ab",\n ', max_size=14), min_size=1, max_size=25), st.integers(1, 4))
-def test_reader_agrees_with_the_exact_split(texts, width):
-    """What DuckDB accepts at the right width and without a quote is what the exact split gives."""
-    rows = [(i, t, width) for i, t in enumerate(texts) if t and not ("\n" in t and '"' not in t)]
-    good, bad = rejects.read_batch(rows)
-    assert set(good) | set(bad) == {i for i, _, _ in rows}
-    for i, t, _ in rows:
-        if i in good and '"' not in t and t.count(",") + 1 == width:
-            assert good[i] == rejects.split_record(t)
-        if i in bad and '"' not in t:
-            assert len(rejects.split_record(t)) != width
+@given(st.lists(st.text(alphabet='ab15.₹",\n -', max_size=14), min_size=1, max_size=25), st.sampled_from([("date",), ("debit", "credit"), ("description", "debit", "credit"), ("x", "amount", "description")]))
+def test_the_reader_and_the_check_after_it_agree_with_plain_rules(texts, roles):
+    for text, got in zip(texts, rejects.judged(texts, [roles] * len(texts)), strict=True):
+        want = rejects.exact(rejects.trimmed(text), roles)
+        assert (got[0], got[2]) == (want[0], want[2]), text
+
+
+def test_the_reject_table_decides(monkeypatch):
+    """What the reader says is what comes out, for records it can tell: another verdict of the reader is another result."""
+    roles = ("description", "debit", "credit")
+    texts = ["a,1,", "a,1", "a,1,2,3", '"a"b,1,2', "a,x,2", "b,1,0"]
+    plain = [r for r, _, _ in rejects.judged(texts, [roles] * 6)]
+    assert plain == [None, "column_count", "column_count", "quoting", "invalid_value", None]
+    good, bad = rejects.read_batch([(i, t, roles) for i, t in enumerate(texts)])
+    assert bad == {1: "MISSING COLUMNS", 2: "TOO MANY COLUMNS", 3: "UNQUOTED VALUE"} and good[4][1] == "debit is no amount"
+    monkeypatch.setattr(rejects, "_scan", lambda con, rows, width: ({5: (["b", "1", "0"], "told so")}, {n: "UNQUOTED VALUE" for n, _, _ in rows if n != 5}))
+    assert [r for r, _, _ in rejects.judged(texts, [roles] * 6)] == [None, "quoting", "quoting", "quoting", "quoting", "invalid_value"]
+
+
+def test_a_record_that_the_reader_gives_up_on_hides_no_other():
+    texts = ["a", 'b"\r"', "c,d", '\r\r"', "e"]
+    assert [r for r, _, _ in rejects.judged(texts, [("x",)] * 5)] == [None, None, "column_count", None, None]
 
 
 def test_roles():
