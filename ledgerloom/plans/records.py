@@ -13,14 +13,19 @@ from ledgerloom.session import stored
 from ledgerloom.sources.tables import table
 
 
+def _headers(spark: SparkSession, folder: str) -> DataFrame:
+    return rejects.headers(*[table(spark, folder, n) for n in ("statement_lines", "bank_statements", "bank_header_mappings")])
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return rejects.rejects(table(spark, folder, "statement_lines"))
+    lines = table(spark, folder, "statement_lines")
+    return rejects.rejects(lines, _headers(spark, folder))
 
 
 def p3_loaded(spark: SparkSession, folder: str) -> DataFrame:
     """The valid records: line_id, statement_id, line_no and the fields joined by a unit separator."""
     lines = table(spark, folder, "statement_lines")
-    return rejects.checked(lines).where("reason is null").select("line_id", "statement_id", "line_no", F.array_join("fields", "\u001f").alias("fields"))
+    return rejects.checked(lines, _headers(spark, folder)).where("reason is null").select("line_id", "statement_id", "line_no", F.array_join("fields", "\u001f").alias("fields"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,12 +33,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.changes(table(spark, folder, "statement_lines"), table(spark, folder, "bank_statements"))
+    return drift.changes(*[table(spark, folder, n) for n in ("statement_lines", "bank_statements", "bank_header_mappings")])
 
 
 def p6_unified(spark: SparkSession, folder: str) -> DataFrame:
     """The one table of all records."""
-    return drift.unified(table(spark, folder, "statement_lines"), table(spark, folder, "bank_statements")).withColumn("other", F.to_json("other")).withColumn("failed", F.array_join("failed", ","))
+    return drift.unified(*[table(spark, folder, n) for n in ("statement_lines", "bank_statements", "bank_header_mappings")]).withColumn("other", F.to_json("other")).withColumn("failed", F.array_join("failed", ","))
 
 
 def _sums(spark: SparkSession, folder: str) -> DataFrame:

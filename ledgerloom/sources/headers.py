@@ -7,6 +7,7 @@ direction, balance, and side fields (cheque number, branch, channel, transaction
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 #: Rules in order: the first that holds gives the role. Each is a pattern over the name in lower case, other signs as blanks.
 ROLE_RULES = (
@@ -16,7 +17,7 @@ ROLE_RULES = (
     ("channel", r"^(mode|channel)$|\b(mode|channel) of\b"),
     ("txn_id", r"\b(txn|tran|transaction|trans)\b ?\b(uid|id|no|ref)\b|\buid\b|\btxnid\b|^(utr|reference) ?(no)?$"),
     ("direction", r"^(d c|dr cr|cr dr|sign|direction|debit credit|type)$"),
-    ("balance", r"\b(balance|bal|closing|position|left)\b"),
+    ("balance", r"\b(balance|bal|closing)\b"),
     ("debit", r"\b(debit|debits|dr|withdrawal|withdrawals|outflow|outflows|payment|payments|paid out|money out|wdl)\b"),
     ("credit", r"\b(credit|credits|cr|deposit|deposits|inflow|inflows|receipt|receipts|paid in|money in)\b"),
     ("date", r"\b(date|dt|when|posted|booked|day)\b|^date time$"),
@@ -40,6 +41,22 @@ def role_of(name: str) -> str:
     return f"other:{text}"
 
 
+#: Roles that a bank's mapping tells, and the column that holds the name.
+MAPPED = {"date": "date_header", "description": "description_header", "debit": "debit_header", "credit": "credit_header", "amount": "amount_header", "direction": "direction_header"}
+
+
+def bank_roles(mappings: Iterable[dict]) -> tuple[dict[str, dict[str, str]], dict[str, str]]:
+    """Folded name to role by bank key, and over all banks for the names that no rule knows and no two banks read otherwise."""
+    by_bank: dict[str, dict[str, str]] = {}
+    pooled: dict[str, set[str]] = {}
+    for m in mappings:
+        for role, column in MAPPED.items():
+            if m.get(column):
+                by_bank.setdefault(m["bank_key"], {})[folded(m[column])] = role
+                pooled.setdefault(folded(m[column]), set()).add(role)
+    return by_bank, {n: min(r) for n, r in pooled.items() if len(r) == 1 and role_of(n).startswith("other:")}
+
+
 def roles_of(names: list[str], known: dict[str, str] | None = None) -> list[str]:
     """A role for each field of a header; ``known`` maps folded names to roles and goes first (a bank's mapping).
 

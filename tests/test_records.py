@@ -82,7 +82,7 @@ def test_a_record_that_the_reader_gives_up_on_hides_no_other():
 
 
 def test_roles():
-    assert roles_of(["Value Date", "Narration", "Dr Amount", "Paid In", "Left"]) == ["date", "description", "debit", "credit", "balance"]
+    assert roles_of(["Value Date", "Narration", "Dr Amount", "Paid In", "Closing"]) == ["date", "description", "debit", "credit", "balance"]
     assert roles_of(["Tran Dt", "Val Dt", "Txn_Text", "Payments", "Receipts", "Sol Id", "TXN_UID", "Mode", "Zzz"]) == ["date", "value_date", "description", "debit", "credit", "branch", "txn_id", "channel", "other:zzz"]
     assert roles_of(["Credit", "Cr Amount"]) == ["credit", "credit#2"]
 
@@ -149,7 +149,7 @@ def test_missing_zone_is_estimated_from_order_and_ingestion(spark):
 
 
 def files(spark, *rows):
-    return spark.createDataFrame([(i, "acc", dt.datetime(2024, 1, k + 1), "UTC", "DMY") for k, i in enumerate(rows)], "statement_id string, account_id string, upload_date timestamp, zone_name string, day_order string")
+    return spark.createDataFrame([(i, "acc", dt.datetime(2024, 1, k + 1), "UTC", "DMY", None) for k, i in enumerate(rows)], "statement_id string, account_id string, upload_date timestamp, zone_name string, day_order string, bank_key string")
 
 
 def test_changes(spark):
@@ -160,6 +160,26 @@ def test_changes(spark):
     assert drift.changes(one, files(spark, "s1")).count() == 0
 
 
+def test_fields_that_no_rule_knows_are_told_by_what_they_hold(spark):
+    """A field of sums is the balance, whatever its name; what is lost and gained and holds the same is renamed; others are not."""
+    one = lines(spark, "Date,Narration,Debit,Credit,Left over,Zeta,Omega", "2024-01-01,x,5.00,,1.50 Cr,ab,1", "2024-01-02,x,6.50,,2.00,cd,2", statement="s1")
+    two = lines(spark, "Date,Narration,Debit,Credit,Position,Theta", "2024-01-01,x,5.00,,9.50 Dr,xy,", "2024-01-02,x,5.00,,8.00,zz,", statement="s2", start=100)
+    both = one.unionByName(two)
+    got = {(r.change, r.old_field, r.new_field) for r in drift.changes(both, files(spark, "s1", "s2")).collect()}
+    assert got == {("renamed", "Left over", "Position"), ("renamed", "Zeta", "Theta"), ("removed", "Omega", "")}
+    table = {r.line_id: r for r in drift.unified(both, files(spark, "s1", "s2")).collect()}
+    assert table[2].balance == Decimal("1.50") and table[101].balance == Decimal("-9.50")
+
+
+def test_a_banks_mapping_goes_before_the_rules(spark):
+    df = lines(spark, "Value Date,Odd Text,Amount", "2024-01-01,x,5", "2024-01-01,,5", statement="s1")
+    own = files(spark, "s1").withColumn("bank_key", F.lit("B"))
+    mapping = spark.createDataFrame([("B", "Value Date", "Odd Text", None), (None, None, None, None)], "bank_key string, date_header string, description_header string, debit_header string")
+    assert rejects.headers(df, own, mapping).first().roles == ["date", "description", "amount"]
+    assert {r.line_id: r.reason for r in rejects.checked(df, rejects.headers(df, own, mapping)).collect()} == {2: None, 3: "invalid_value"}
+    assert {r.line_id: r.reason for r in rejects.checked(df).collect()} == {2: None, 3: None}
+
+
 def test_unified_table_reports_failed_casts(spark):
     df = lines(spark, "Date,Description,Debit,Credit,Balance", "2024-01-01,x,5.00,,12 Cr", "30 Feb 2024,y,,6,oops", "03/01/2024,z,\"1,000\",0,(5.50)", statement="s1")
     got = {r.line_id: r for r in drift.unified(df, files(spark, "s1")).collect()}
