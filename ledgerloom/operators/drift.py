@@ -131,9 +131,9 @@ def changes(lines: DataFrame, statements: DataFrame, mappings: DataFrame | None
     """
     head = stored(headers(lines, statements, mappings), "headers")
     types = stored(field_types(path_types(paths(checked(lines, head), head))), "types")  # read four times
-    told = meant(types)
+    told = stored(meant(types), "meanings")
     head = with_meanings(head, told)
-    types = types.join(told, ["statement_id", "role"], "left").withColumn("role", F.coalesce("meaning", "role")).drop("meaning")
+    types = stored(types.join(told, ["statement_id", "role"], "left").withColumn("role", F.coalesce("meaning", "role")).drop("meaning"), "types")
     files = head.where("names is not null").join(statements.select("statement_id", "account_id", "upload_date").where("account_id is not null").dropDuplicates(["statement_id"]), "statement_id")
     order = W.partitionBy("account_id").orderBy(F.col("upload_date").asc_nulls_first(), "statement_id")
     # an account's files are few next to its records: the window holds headers only

@@ -163,7 +163,7 @@ def test_changes(spark):
 def test_fields_that_no_rule_knows_are_told_by_what_they_hold(spark):
     """A field of sums is the balance, whatever its name; what is lost and gained and holds the same is renamed; others are not."""
     one = lines(spark, "Date,Narration,Debit,Credit,Left over,Zeta,Omega", "2024-01-01,x,5.00,,1.50 Cr,ab,1", "2024-01-02,x,6.50,,2.00,cd,2", statement="s1")
-    two = lines(spark, "Date,Narration,Debit,Credit,Position,Theta", "2024-01-01,x,5.00,,9.50 Dr,xy,", "2024-01-02,x,5.00,,8.00,zz,", statement="s2", start=100)
+    two = lines(spark, "Date,Narration,Debit,Credit,Position,Theta", "2024-01-01,x,5.00,,9.50 Dr,xy", "2024-01-02,x,5.00,,8.00,zz,", statement="s2", start=100)
     both = one.unionByName(two)
     got = {(r.change, r.old_field, r.new_field) for r in drift.changes(both, files(spark, "s1", "s2")).collect()}
     assert got == {("renamed", "Left over", "Position"), ("renamed", "Zeta", "Theta"), ("removed", "Omega", "")}
