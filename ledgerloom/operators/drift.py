@@ -15,6 +15,8 @@ from ledgerloom.operators.instants import zoned
 from ledgerloom.operators.rejects import amount, checked, field, headers
 from ledgerloom.session import stored
 
+#: All notations of dates in one; the one with a back reference is the first, so that its groups keep their numbers.
+_DATE = "|".join(f"(?:{p})" for p in (FIGURES, PLAIN, ISO, DAY_NAMED, MONTH_NAMED, COMPACT))
 _MONEY = r"(?i)^\(?[+-]?\s*(₹|rs\.?)?\s*[+-]?\s*\d+(,\d+)*(\.\d*)?\s*\)?\s*(cr|dr)?\.?$"
 _NUMBER = r"^[+-]?\s*(₹|[Rr][Ss]\.?)?\s*[+-]?\s*\d+(,\d+)*"
 
@@ -23,16 +25,16 @@ def raw_type(value: Column, role: Column) -> Column:
     """whole, decimal, date, date-time or text; null for a blank value. Bare figures are dates only in date fields."""
     t = F.trim(value)
     dated = F.split(role, "#")[0].isin("date", "value_date")
-    clock = t.rlike(r"\d{1,2}:\d{2}") | t.rlike(r"^\d{8}T\d{6}") | (t.rlike(r"^\d+$") & F.length(t).isin(10, 13, 16))
-    is_date = t.rlike(PLAIN) | t.rlike(ISO) | t.rlike(FIGURES) | t.rlike(DAY_NAMED) | t.rlike(MONTH_NAMED) | (t.rlike(COMPACT) & (dated | t.contains("T"))) | (dated & t.rlike(r"^\d+$") & F.length(t).isin(5, 8, 10, 13, 16))
+    figures = t.rlike(r"^\d+$") & F.length(t).isin(5, 8, 10, 13, 16)
+    clock = t.rlike(r"\d{1,2}:\d{2}|^\d{8}T\d{6}") | (t.rlike(r"^\d+$") & F.length(t).isin(10, 13, 16))
+    date = F.when(clock, "date-time").otherwise("date")
+    # the numbers, then one expression for all notations of dates: of a text that is neither, no more is tried
     return (
         F.when(value.isNull() | (t == ""), F.lit(None).cast("string"))
-        .when(~dated & t.rlike(_NUMBER + "$"), "whole")
-        .when(~dated & t.rlike(_NUMBER + r"\.\d*$|^[+-]?\.\d+$"), "decimal")
-        .when(is_date & clock, "date-time")
-        .when(is_date, "date")
+        .when(dated & figures, date)
         .when(t.rlike(_NUMBER + "$"), "whole")
-        .when(t.rlike(_NUMBER + r"\.\d*$"), "decimal")
+        .when(t.rlike(_NUMBER + r"\.\d*$|^[+-]?\.\d+$"), F.when(dated & ~t.rlike(_NUMBER), "text").otherwise("decimal"))
+        .when(t.rlike(_DATE), date)
         .otherwise("text")
     )
 

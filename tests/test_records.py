@@ -172,9 +172,9 @@ def test_fields_that_no_rule_knows_are_told_by_what_they_hold(spark):
 
 
 def test_a_banks_mapping_goes_before_the_rules(spark):
-    df = lines(spark, "Value Date,Odd Text,Amount", "2024-01-01,x,5", "2024-01-01,,5", statement="s1")
+    df = lines(spark, "Value Date,Odd Bit,Amount", "2024-01-01,x,5", "2024-01-01,,5", statement="s1")
     own = files(spark, "s1").withColumn("bank_key", F.lit("B"))
-    mapping = spark.createDataFrame([("B", "Value Date", "Odd Text", None), (None, None, None, None)], "bank_key string, date_header string, description_header string, debit_header string")
+    mapping = spark.createDataFrame([("B", "Value Date", "Odd Bit", None), (None, None, None, None)], "bank_key string, date_header string, description_header string, debit_header string")
     assert rejects.headers(df, own, mapping).first().roles == ["date", "description", "amount"]
     assert {r.line_id: r.reason for r in rejects.checked(df, rejects.headers(df, own, mapping)).collect()} == {2: None, 3: "invalid_value"}
     assert {r.line_id: r.reason for r in rejects.checked(df).collect()} == {2: None, 3: None}
