@@ -53,7 +53,50 @@ def stored(df: DataFrame, name: str = "stage", path: str | None = None) -> DataF
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Deletes the folder of a table that ``stored`` wrote and nothing reads any more; of any other table it deletes nothing."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        drop_path(df.sparkSession, path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any file system that Spark reads."""
+    fs, at = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text beside its place and moves it there, so that a reader never sees half of it."""
+    fs, at = _hadoop(spark, path)
+    _, part = _hadoop(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    fs.delete(at, False)
+    fs.rename(part, at)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small text, None where there is none."""
+    fs, at = _hadoop(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
