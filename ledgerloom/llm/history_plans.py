@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm.history import History, clusters, pairs
 from ledgerloom.sources.tables import table
 
 
 def _accepted(spark: SparkSession, folder: str) -> History:
-    """The history (batch 1) accepted, then all later batches as one increment that probes it."""
+    """A store that took every batch in order, one after the other: batch 1 is the history, then come the weekly ones."""
     transactions, statements = table(spark, folder, "transactions"), table(spark, folder, "bank_statements")
     store = History(spark)
-    store.accept(transactions.where("coalesce(batch_no, 1) <= 1"), statements)
-    store.accept(transactions.where("batch_no > 1"), statements, transactions)
+    for batch in store.load(transactions, statements, F.coalesce("batch_no", F.lit(1))):
+        store.take(batch)
+    store.settle()
     return store
 
 
@@ -26,5 +28,10 @@ def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters(_accepted(spark, folder).mapping())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters)}
+def p1_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """What each batch cost: its rows, the rows and bytes of the history that it read, the rows the history had, and its links; the last row (no batch) is the pass over records without a day."""
+    return spark.createDataFrame(_accepted(spark, folder).log, "batch int, rows long, probed_rows long, probed_bytes long, history_rows long, links long")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p1_batches)}
 SQL: dict[str, str] = {}

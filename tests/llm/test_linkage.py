@@ -7,6 +7,7 @@ import uuid
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import history, matching, names
 from ledgerloom.llm.history import History, clusters, pairs
@@ -57,8 +58,16 @@ def test_batches_one_by_one_equal_one_load_and_find_the_truth(spark):
     many = History(spark)
     many.weights = one.weights
     for k in (1, 2, 3):
-        many.accept(t.where(f"batch_no = {k}"), f, t)
+        many = History(spark, many.path) if k > 1 else many  # opened again each time
+        many.accept(t.where(f"batch_no = {k}"), f)
     assert {tuple(r) for r in pairs(many.mapping()).collect()} == got
+    loaded = History(spark)
+    loaded.weights = one.weights
+    for batch in loaded.load(t, f, F.col("batch_no")):
+        loaded.take(batch)
+    loaded.settle()
+    assert {tuple(r) for r in pairs(loaded.mapping()).collect()} == got
+    assert [x["batch"] for x in loaded.log][:3] == [1, 2, 3]
     sizes = {r.transaction_id: r.copies for r in clusters(many.mapping()).collect()}
     assert all(v >= 2 for v in sizes.values()) and set(sizes) == {x for p in got for x in p}
 
@@ -93,7 +102,32 @@ def test_history_of_nulls_copies_and_nothing(spark):
     assert pairs(h.mapping()).count() == 300 * 299 // 2
     h.accept(t.where("false"), f)
     assert pairs(h.mapping()).count() == 300 * 299 // 2
-    assert history.weights_from(h.save()).score(0) == pytest.approx(h.weights.score(0))
+    again = History(spark, h.path)
+    assert again.weights.score(0) == pytest.approx(h.weights.score(0)) and pairs(again.mapping()).count() == 300 * 299 // 2
+
+
+def test_a_batch_reads_only_the_days_it_reaches(spark, monkeypatch):
+    """The bytes a batch probes depend on the days of its rows, not on how much was accepted before."""
+    monkeypatch.setattr(history, "BULK", 10)
+    rnd = random.Random(9)
+    day = lambda k: (dt.date(2020, 1, 1) + dt.timedelta(days=k)).isoformat()
+    row = lambda b, k: (str(uuid.UUID(int=rnd.getrandbits(128))), "A", "e", "f", day(k), f"NEFT/{rnd.randrange(10**9, 10**10)}", Decimal(rnd.randrange(100, 10**6)) / 100, "DR", None, None, None, Decimal(rnd.randrange(10**6)), 1, b)
+    rows = [row(1 + k // 60, k) for k in range(1200)]
+    t, f = frames(spark, rows)
+    h = History(spark)
+    for batch in h.load(t, f, F.col("batch_no")):
+        h.take(batch)
+    assert len(h.log) == 20 and h.log[-1]["history_rows"] == 1140
+    assert max(x["probed_rows"] for x in h.log) <= 3 * 64 and len(h.maps) <= 16
+
+
+def test_undated_records_meet_by_reference_and_text(spark):
+    base = ("A", "e", "f")
+    rows = [("a", *base, "2024-03-01", "NEFT/123456789012/X", Decimal(5), "DR", None, None, None, Decimal(7), 1, 1), ("b", *base, None, "neft 123456789012 x", Decimal(5), "DR", None, None, None, None, 1, 1), ("c", *base, None, "OTHER/999999999999", Decimal(5), "DR", None, None, None, None, 1, 1)]
+    t, f = frames(spark, rows)
+    h = History(spark)
+    h.accept(t, f)
+    assert {tuple(r) for r in pairs(h.mapping()).collect()} == {("a", "b")}
 
 
 @pytest.mark.parametrize("a, b, same", [("lunobobhe", "lunobobe", False), ("toshebisho", "tosehbisho", True), ("mezipake", "mezipakke", True), ("bubikode", "bivikode", False), ("lorituzu", "lorituxu", True), ("katherine", "kathereene", True), ("ramesh", "dinesh", False), ("abc", "abcdef", False)])
