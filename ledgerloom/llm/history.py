@@ -39,6 +39,7 @@ REACH = 4  # days that two records of one movement may lie apart
 PERIOD = 64  # days of a file of the key table
 BULK = 5_000  # records of a period from which a batch writes it to files of its own; what is fewer shares one
 SMALL = 100_000  # distinct blocks that may be broadcast: 8 bytes each, under 1 MB
+LEAST = 2_000  # records that an increment holds at least: smaller batches are taken together with those that follow them
 MERGE = 16  # batches whose small tables are merged into one
 NO_DAY = -(2**31)
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -337,6 +338,18 @@ def union_find(links: DataFrame, before: DataFrame | None = None, parts: int | N
     return rows.sortWithinPartitions("block").mapInArrow(_found, "id binary, rep binary, block long")
 
 
+def increments(loaded: list[dict], least: int = LEAST) -> list[dict]:
+    """Loaded batches in their order, one an increment; batches of fewer than ``least`` records are put together until they are as
+    many, as a job costs more than they do. What is found is the same, as rows of one increment are compared with each other too."""
+    out: list[dict] = []
+    for one in loaded:
+        if out and sum(f["rows"] for f in out[-1]["files"]) < least:
+            out[-1] = {"first": out[-1]["first"], "of": one["of"], "files": out[-1]["files"] + one["files"]}
+        else:
+            out.append({"first": one["of"], **one})
+    return out
+
+
 @contextmanager
 def _listed(spark: SparkSession) -> Iterator[None]:
     """Lists some hundred named folders on the driver instead of by a job."""
@@ -363,7 +376,7 @@ class History:
         #: Tables of the mapping and of members, in order.
         self.maps: list[str] = kept.get("maps", [])
         self.member_files: list[str] = kept.get("members", [])
-        #: What each batch read and made: batch, rows, probed_rows, probed_bytes, history_rows, links.
+        #: What each increment read and made: its first and last batch, rows, probed_rows, probed_bytes, history_rows, links.
         self.log: list[dict] = kept.get("log", [])
 
     def _save(self) -> None:
@@ -436,7 +449,7 @@ class History:
             found = self._read(LINKS, [f"candidates-{k}"])
             self.weights = learned({r["pattern"]: r["n"] for r in found.where(~F.col("pattern").isin(*COPY)).groupBy("pattern").agg(F.count("*").alias("n")).collect()})
         links = self._link(found, k, parts)
-        self.log.append({"batch": loaded["of"], "rows": rows, "probed_rows": sum(f["rows"] for f in touched), "probed_bytes": sum(f["size"] for f in touched), "history_rows": sum(f["rows"] for f in self.files), "links": links})
+        self.log.append({"first": loaded.get("first", loaded["of"]), "batch": loaded["of"], "rows": rows, "probed_rows": sum(f["rows"] for f in touched), "probed_bytes": sum(f["size"] for f in touched), "history_rows": sum(f["rows"] for f in self.files), "links": links})
         self.files += files
         self.batches = k + 1
         if self.batches % MERGE == 0:
@@ -486,7 +499,7 @@ class History:
             if self.weights is None:
                 self.weights = START
             links = self._link(undated(self._read(RECORDS, [f["at"] for f in self.files])), self.batches, None)
-            self.log.append({"batch": None, "rows": sum(f["rows"] for f in self.files if f["high"] == NO_DAY), "probed_rows": sum(f["rows"] for f in self.files), "probed_bytes": sum(f["size"] for f in self.files), "history_rows": sum(f["rows"] for f in self.files), "links": links})
+            self.log.append({"first": None, "batch": None, "rows": sum(f["rows"] for f in self.files if f["high"] == NO_DAY), "probed_rows": sum(f["rows"] for f in self.files), "probed_bytes": sum(f["size"] for f in self.files), "history_rows": sum(f["rows"] for f in self.files), "links": links})
             self.batches += 1
         self._save()
 
