@@ -200,8 +200,13 @@ def candidates(old: DataFrame | None, new: DataFrame, parts: int | None = None)
     return with_texts(rows.mapInArrow(_groups, PAIRS))
 
 
-def undated(every: DataFrame) -> DataFrame:
-    """a, b, block, pattern of the pairs of heads of which one at least has no day: equal in cents and in balance, reference or text."""
+def undated(every: DataFrame, few: bool = False) -> DataFrame:
+    """a, b, block, pattern of the pairs of heads of which one at least has no day: equal in cents and in balance, reference or text.
+
+    few: that those without a day are known to be few, so that their blocks may be broadcast; rows of other blocks are dropped at the scan.
+    """
+    blocks = every.where(F.col("day") == NO_DAY).select("block").distinct()
+    every = every.join(F.broadcast(blocks) if few else blocks, "block", "left_semi")
     side = lambda df, n: df.select(*[F.col(c).alias(f"{c}_{n}") for c in ("id", "balance", "text_hash", "ref_hash", "text", "day")], "block", "cents")
     a, b = side(every.where(F.col("day") == NO_DAY), "a"), side(every, "b")
     found = None
@@ -498,8 +503,9 @@ class History:
         if any(f["high"] == NO_DAY for f in self.files):
             if self.weights is None:
                 self.weights = START
-            links = self._link(undated(self._read(RECORDS, [f["at"] for f in self.files])), self.batches, None)
-            self.log.append({"first": None, "batch": None, "rows": sum(f["rows"] for f in self.files if f["high"] == NO_DAY), "probed_rows": sum(f["rows"] for f in self.files), "probed_bytes": sum(f["size"] for f in self.files), "history_rows": sum(f["rows"] for f in self.files), "links": links})
+            rows = sum(f["rows"] for f in self.files if f["high"] == NO_DAY)
+            links = self._link(undated(self._read(RECORDS, [f["at"] for f in self.files]), rows <= SMALL), self.batches, None)
+            self.log.append({"first": None, "batch": None, "rows": rows, "probed_rows": sum(f["rows"] for f in self.files), "probed_bytes": sum(f["size"] for f in self.files), "history_rows": sum(f["rows"] for f in self.files), "links": links})
             self.batches += 1
         self._save()
 
