@@ -206,7 +206,7 @@ def undated(every: DataFrame, few: bool = False) -> DataFrame:
     few: that those without a day are known to be few, so that their blocks may be broadcast; rows of other blocks are dropped at the scan.
     """
     blocks = every.where(F.col("day") == NO_DAY).select("block").distinct()
-    every = every.join(F.broadcast(blocks) if few else blocks, "block", "left_semi")
+    every = stored(every.join(F.broadcast(blocks) if few else blocks, "block", "left_semi"), "undated")  # read six times
     side = lambda df, n: df.select(*[F.col(c).alias(f"{c}_{n}") for c in ("id", "balance", "text_hash", "ref_hash", "text", "day")], "block", "cents")
     a, b = side(every.where(F.col("day") == NO_DAY), "a"), side(every, "b")
     found = None
