@@ -2,10 +2,9 @@
 
 A name is read into a rare part (a surname, a firm's own word), a frequent part (a given name, a trade) and a legal form.
 Which words are frequent is counted over all names. Rare parts are blocked by their suffixes above a minimum length,
-written forward and backward, and every short suffix is refined by the frequent part before it is used, so that no
-common suffix need be discarded. Rare parts too short to keep a whole suffix through a slip are also blocked by what is left
-of them without a letter. Pairs are compared by the ratio of their longest common subsequence and by whether a slip
-of typing tells one from the other. Links that need no guess come first and make parties; a spelling that leaves something
+forward and backward, and by what is left of them without a letter; a key that too many share is refined by the other
+fields before it is used. Pairs are compared by the ratio of their longest common subsequence: one letter may be astray.
+Links that need no guess come first and make parties; a spelling that leaves something
 out (an initial, a nickname, a firm's word alone, a cut end) joins a party only if there is just one it fits.
 """
 
@@ -14,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,31 +24,15 @@ from ledgerloom.session import stored
 
 #: Forms of address, and the words of legal forms with their usual abbreviations.
 TITLES = {"mr", "mrs", "ms", "miss", "shri", "sri", "shree", "smt", "dr", "kum", "kumari", "messrs", "prof", "md"}
-LEGAL = {
-    "pvt": "pvt", "private": "pvt", "pte": "pvt", "ltd": "ltd", "limited": "ltd", "llp": "llp", "inc": "inc", "corp": "corp",
-    "co": "co", "company": "co", "comp": "co", "sons": "sons", "son": "sons", "bros": "bros", "brothers": "bros",
-    "enterprises": "ent", "enterprise": "ent", "entp": "ent", "ents": "ent", "ent": "ent", "entr": "ent", "enterpris": "ent", "enterpri": "ent",
-    "agencies": "agy", "agency": "agy", "agcy": "agy", "agcs": "agy", "agenci": "agy", "agencie": "agy", "agnc": "agy", "agys": "agy", "agencies.": "agy",
-}
-#: Legal words that a field's end may cut.
-CUT = (("private", "pvt"), ("limited", "ltd"), ("enterprises", "ent"), ("agencies", "agy"))
-#: Keys that lie beside each other on a keyboard, and letters that sound alike.
-ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-ALIKE = {frozenset(p) for p in ("vw", "zj", "iy", "ck", "sz", "ou", "ei", "bv", "gj", "pf", "ks", "xs", "qk", "kc", "oa")}
+LEGAL = {"pvt": "pvt", "pte": "pvt", "ltd": "ltd", "llp": "llp", "inc": "inc", "corp": "corp", "co": "co", "sons": "sons", "bros": "bros", "agcy": "agy"}
+#: The words themselves; a word that is one of them cut short or its consonants stands for it.
+WRITTEN_OUT = {"private": "pvt", "limited": "ltd", "company": "co", "brothers": "bros", "sons": "sons", "enterprises": "ent", "enterprise": "ent", "agencies": "agy", "agency": "agy"}
 LEAST = 3  # letters of the shortest suffix
 FREE = 6  # letters of the shortest suffix that is used without the frequent part
-RATIO = 0.75
+COMMON = 300  # classes of a key beyond which it is refined
 SLIP, BARE_SLIP = 5, 7  # letters of the shortest rare part in which a slip is forgiven, with a frequent part and without
 
 
-def _near_keys() -> set[frozenset[str]]:
-    place = {c: (x + 0.5 * y, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
-    return {frozenset((a, b)) for a in place for b in place if a != b and abs(place[a][0] - place[b][0]) <= 1 and abs(place[a][1] - place[b][1]) <= 1}
-
-
-NEAR = _near_keys() | ALIKE
-
-
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bits of one integer."""
     where: dict[str, int] = {}
@@ -67,32 +51,17 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def slip(a: str, b: str) -> bool:
-    """Whether one slip of typing makes b of a: a letter left out, doubled or added, two swapped, or a near or like one hit.
+def astray(a: str, b: str) -> bool:
+    """Whether two words are one but for a letter: their longest-common-subsequence ratio, as written or with long vowels and
+    double letters written short, is what one letter changed, moved, added or left out leaves of the longer, at least."""
+    least = 1 - 1 / max(len(a), len(b), 1) - 1e-9
+    return ratio(a, b) >= least or ratio(sounded(a), sounded(b)) >= least
 
-    Also what phonetic spelling does: a long vowel for a short one (ee, oo, aa), a double letter, h left out.
-    """
-    if a == b:
-        return True
-    if len(a) > len(b):
-        a, b = b, a
-    n, m = len(a), len(b)
-    if m - n > 2:
-        return False
-    i = 0
-    while i < n and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < n - i and a[n - 1 - j] == b[m - 1 - j]:
-        j += 1
-    x, y = a[i : n - j], b[i : m - j]
-    if m == n:
-        if len(x) == 1:
-            return frozenset((x, y)) in NEAR
-        return len(x) == 2 and x == y[::-1]
-    if m == n + 1:
-        return not x or (y in ("ee", "oo", "aa") and len(x) == 1) or (len(x) == 1 and len(y) == 2 and y[0] == y[1] and False)
-    return False
+
+@lru_cache(maxsize=200_000)
+def sounded(word: str) -> str:
+    """A word with long vowels written short (ee, oo, aa) and double letters once."""
+    return re.sub(r"(.)\1", r"\1", word.replace("ee", "i").replace("oo", "u"))
 
 
 def folded(text: str) -> list[str]:
@@ -104,6 +73,12 @@ def folded(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9ऀ-￿]+", text) if w]
 
 
+@lru_cache(maxsize=100_000)
+def written_short(word: str, after_private: bool) -> str | None:
+    """The legal form that a word is, or of which it is a cut end or the consonants; after 'private' one or two letters of limited will do."""
+    return next((kind for full, kind in WRITTEN_OUT.items() if word == full or (len(word) > 2 and shortened(word, full)) or (after_private and full == "limited" and full.startswith(word))), None)
+
+
 def legal_of(words: list[str]) -> tuple[str, list[str]]:
     """The legal form of a name ('' for none) and its other words."""
     kinds: list[str] = []
@@ -117,8 +92,8 @@ def legal_of(words: list[str]) -> tuple[str, list[str]]:
             kinds.append("ltd")
         elif w in LEGAL and (k or len(words) == 1):
             kinds.append(LEGAL[w])
-        elif k > 1 and k == len(words) - 1 and (cut := next((kind for full, kind in CUT if full.startswith(w) and (len(w) > 2 or kinds[-1:] == ["pvt"])), None)):
-            kinds.append(cut)
+        elif k and (kind := written_short(w, kinds[-1:] == ["pvt"])):
+            kinds.append(kind)
         else:
             rest.append(w)
     if "llp" in kinds:
@@ -159,8 +134,10 @@ class Lexicon:
             return [word], 4
         if given and word in self.nicknames:
             return [w for w in self.nicknames[word]], 3
-        if len(word) >= 4:
-            found = [w for w in pool if abs(len(w) - len(word)) <= 2 and len(w) >= 4 and slip(word, w) and ratio(word, w) >= RATIO]
+        if len(word) >= SLIP - 1:
+            own = set(word)
+            # a letter astray leaves all but one or two of the letters: a cheap test before the ratio
+            found = [w for w in pool if abs(len(w) - len(word)) <= 2 and max(len(w), len(word)) >= SLIP and len(own.symmetric_difference(w)) <= 3 and astray(word, w)]
             if found:
                 return found, 2
         if len(word) >= 3 or (trades and not given and len(word) == 2):
@@ -318,58 +295,72 @@ def classes(read: DataFrame) -> DataFrame:
     return read.withColumn("cid", same).groupBy("cid").agg(F.first("rare").alias("rare"), F.first("frequent").alias("frequent"), F.first("legal").alias("legal"), F.first("kind").alias("kind"), F.max("sure").alias("sure"), F.count("*").alias("names"))
 
 
-KEYS = T.StructType([T.StructField("cid", T.LongType()), T.StructField("key", T.LongType())])
-
-
-def suffixes(rare: str) -> list[str]:
-    """The suffixes of a rare part of at least LEAST letters, forward and (marked) backward."""
-    back = rare[::-1]
-    if len(rare) < LEAST:
-        return [rare]
-    return [rare[k:] for k in range(len(rare) - LEAST + 1)] + ["<" + back[k:] for k in range(len(rare) - LEAST + 1)]
+KEYS = T.StructType([T.StructField("cid", T.LongType()), T.StructField("key", T.LongType()), T.StructField("finer", T.LongType())])
 
 
 def worn(rare: str) -> set[str]:
-    """The rare part itself, without each of its letters, and without each ee, oo or aa: any two that a slip tells apart share one."""
-    one = {rare[:k] + rare[k + 1 :] for k in range(len(rare))}
-    return {rare} | one | {rare[:k] + rare[k + 2 :] for k in range(len(rare) - 1) if rare[k : k + 2] in ("ee", "oo", "aa")}
+    """The rare part and what is left of it without each of its letters: any two that are one but for a letter share one of these."""
+    return {rare} | {rare[:k] + rare[k + 1 :] for k in range(len(rare))}
 
 
-def suffix_index(cls: DataFrame) -> DataFrame:
-    """cid and key: hashes of (suffix, frequent word) for the suffixes of LEAST letters, of (suffix, any) for those of FREE
-    letters, of the whole rare part in both forms, and of what a slip leaves of a shorter one.
+def keys_of(rare: str, frequent: list[str]) -> dict[str, str]:
+    """The keys of a reading and what refines each where it is too common.
 
-    A pair that shares a longer suffix shares that of LEAST or FREE letters. A slip leaves all but two letters before and
-    behind it, so of a rare part of more than twice as many letters it leaves such a suffix whole; up to there, from the
-    length at which ``link_of`` admits a slip, the keys of ``worn`` bring the pair together.
+    Suffixes of LEAST letters, forward, and all from LEAST letters on, backward (a cut end leaves these), go with a frequent word
+    and are refined by the letters beside them; suffixes of FREE letters, the rare part and what a letter astray leaves of it (of a short
+    one with a frequent word) go alone and are refined by the frequent word.
     """
+    out: dict[str, str] = {}
+    first = frequent[0] if len(frequent) == 1 else ""
+    back = rare[::-1]
+    for w in frequent:
+        out[f"{rare}|{w}"] = ""
+        out[f"{rare[-LEAST:]}|{w}"] = rare[-2 * LEAST : -LEAST]
+        for n in range(min(LEAST, len(rare)), len(rare) + 1):
+            out[f"<{back[-n:]}|{w}"] = back[-n - LEAST : -n]
+    out[f"{rare}|"] = first
+    if len(rare) >= FREE:
+        out[f"{rare[-FREE:]}|"] = out[f"<{back[-FREE:]}|"] = first
+    if len(rare) >= SLIP:
+        left = worn(rare) | worn(sounded(rare))
+        if len(rare) >= BARE_SLIP:
+            out |= {f"~{v}|": first for v in left}
+        else:
+            out |= {f"~{v}|{w}": "" for v in left for w in frequent}
+    return out
+
+
+def suffix_index(cls: DataFrame) -> DataFrame:
+    """cid, key and finer: hashes of the keys of ``keys_of`` and of what refines them. Labels have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        number = lambda x: xxhash.xxh64_intdigest(x) - (1 << 63)
         for b in batches:
-            ids, keys = [], []
+            ids, keys, finer = [], [], []
             for cid, rare, frequent, kind in zip(*[b.column(c).to_pylist() for c in ("cid", "rare", "frequent", "kind")], strict=True):
-                if kind == "label":
-                    continue
-                found = set()
-                for s in suffixes(rare):
-                    # longer suffixes of the same run are implied by the key of the shortest that a partner can share
-                    if len(s.lstrip("<")) in (LEAST, len(rare)):
-                        found |= {f"{s}|{w}" for w in frequent}
-                    if len(s.lstrip("<")) in (FREE, len(rare)):
-                        found.add(f"{s}|")
-                if SLIP <= len(rare) <= 2 * LEAST:
-                    found |= {f"~{v}|{w}" for v in worn(rare) for w in frequent}
-                if BARE_SLIP <= len(rare) <= 2 * FREE:
-                    found |= {f"~{v}|" for v in worn(rare)}
-                ids += [cid] * len(found)
-                keys += [xxhash.xxh64_intdigest(x) - (1 << 63) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], KEYS.names)
+                if kind != "label":
+                    found = keys_of(rare, frequent)
+                    ids += [cid] * len(found)
+                    keys += map(number, found)
+                    finer += map(number, found.values())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, keys, finer)], KEYS.names)
 
     return cls.select("cid", "rare", "frequent", "kind").mapInArrow(run, KEYS)
 
 
+def candidates(index: DataFrame, common: int = COMMON) -> DataFrame:
+    """a, b: the pairs of classes that share a key; of a key that more than ``common`` classes have, those that also agree in what refines it.
+
+    What a refined key drops is no link or decides nothing: two rare parts but for a letter share a key of their own, so do a
+    cut end and what it was cut from, and a spelling that leaves the frequent word out fits more than one of so many.
+    """
+    counts = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    index = index.join(counts, "key").select("cid", F.when(F.col("n") > common, F.xxhash64("key", "finer")).otherwise(F.col("key")).alias("key"))
+    return index.alias("x").join(index.alias("y"), F.col("x.key") == F.col("y.key")).where("x.cid < y.cid").select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+
+
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("strong", T.BooleanType())])
 
 
@@ -390,7 +381,7 @@ def link_of(x: tuple, y: tuple) -> bool | None:
     short, long = (ra, rb) if len(ra) <= len(rb) else (rb, ra)
     if ra == rb:
         key = 2
-    elif len(short) >= SLIP and ratio(ra, rb) >= RATIO and slip(ra, rb):
+    elif len(short) >= SLIP and astray(ra, rb):
         key = 1
     elif len(short) >= 4 and long.startswith(short) and fa and fb:
         key = 0
@@ -406,8 +397,7 @@ def link_of(x: tuple, y: tuple) -> bool | None:
 
 def links(cls: DataFrame) -> DataFrame:
     """a, b, strong: the links between classes that share a key of the suffix index."""
-    index = suffix_index(cls)
-    pairs = index.alias("x").join(index.alias("y"), F.col("x.key") == F.col("y.key")).where("x.cid < y.cid").select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    pairs = candidates(stored(suffix_index(cls), "suffixes"))
     side = lambda n: cls.select(F.col("cid").alias(n), F.struct("rare", "frequent", "legal", "kind", "sure").alias(f"r{n}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb")
 

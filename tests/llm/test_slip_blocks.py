@@ -38,3 +38,13 @@ def test_candidates_hold_every_link(spark):
     full = [(r, f, "", kind, sure) for r, f, kind, sure in rows]
     want = {(i, j): g for i, j in itertools.combinations(range(len(rows)), 2) if (g := names.link_of(full[i], full[j])) is not None}
     assert len(want) > 1000 and found(spark, rows) == want
+
+
+def test_refined_keys_lose_no_link(spark):
+    """Where a key is too common, pairs but for a letter still meet, and so do a cut end and what it was cut from where few have it."""
+    rows = [("lorituzu", "ramesh"), ("lorituxu", "ramesh"), ("lori", "ramesh"), ("lorigaba", "ramesh"), ("mekituzu", "ramesh"), ("lorituzu", "kavita"), ("lorabech", "ramesh"), ("loredogu", "ramesh")]
+    cls = spark.createDataFrame([(k, r, [w], "", "person", 4, 1) for k, (r, w) in enumerate(rows)], CLASS)
+    met = lambda common: {tuple(r) for r in names.candidates(names.suffix_index(cls), common).collect()}
+    every, refined = met(99), met(5)
+    assert refined < every and {(0, 1), (0, 2), (1, 2), (2, 3)} <= refined and (0, 6) in every - refined
+    assert (0, 1) in met(1)
