@@ -98,31 +98,40 @@ def first_capture(text: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(low, p, 1)), F.lit("")) for p in usable(patterns)], F.lit(None).cast("string"))
 
 
-def parts(names: Sequence[str], needed: dict[str, Sequence[str]]) -> dict[str, str]:
-    """The header that stands for each wanted column: exact names first, then parts of names, in the order of the lists."""
-    low = {n: re.sub(r"\s+", " ", n.strip().lower()) for n in names}
-    found: dict[str, str] = {}
-    for test in (lambda n, p: n == p, lambda n, p: p in n):
-        for column, wanted in needed.items():
-            if column in found:
-                continue
-            hit = next((raw for p in wanted for raw, n in low.items() if test(n, p) and raw not in found.values()), None)
-            if hit is not None:
-                found[column] = hit
-    return found
-
-
-#: Usual names of statement columns.
+#: Usual names of statement columns, the most specific first.
 WANTED = {
-    "DATE": ("date", "transaction date", "txn date", "posting date", "value date", "tran date"), "DESCRIPTION": ("description", "particulars", "narration", "details", "remarks"),
-    "DEBIT": ("debit", "withdrawal", "dr", "paid out", "debit amount"), "CREDIT": ("credit", "deposit", "cr", "paid in", "credit amount"), "AMOUNT": ("amount", "transaction amount"), "DIRECTION": ("type", "dr/cr", "direction", "cr/dr"),
+    "DATE": ("DATE", "TXN DATE", "TRANSACTION DATE", "VALUE DATE", "POSTING DATE", "TXN_DATE", "TRANSACTION_DATE", "VALUE_DATE", "POSTING_DATE"),
+    "DESCRIPTION": ("DESCRIPTION", "PARTICULARS", "NARRATION", "DETAILS", "TRANSACTION DETAILS", "TXN DETAILS", "TRANSACTION_DETAILS", "TXN_DETAILS"),
+    "DEBIT": ("DEBIT", "DR", "DEBIT AMOUNT", "WITHDRAWAL", "OUTGOING", "DEBIT_AMOUNT", "DR_AMOUNT"),
+    "CREDIT": ("CREDIT", "CR", "CREDIT AMOUNT", "DEPOSIT", "INCOMING", "CREDIT_AMOUNT", "CR_AMOUNT"),
+    "AMOUNT": ("AMOUNT", "TRANSACTION AMOUNT", "TXN AMOUNT", "TRANSACTION_AMOUNT", "TXN_AMOUNT"),
+    "DIRECTION": ("DR/CR", "DR - CR", "DR CR", "CR/DR", "CREDIT/DEBIT", "DEBIT/CREDIT", "TYPE", "TRANSACTION TYPE", "TXN TYPE", "DR_CR", "DRCR"),
 }
+#: Names that hold DATE and are none.
+NO_DATES = ("NO_DATE", "UPDATE_DATE", "CREATE_DATE")
+
+
+def _stands(name: str, column: str, wanted: str) -> bool:
+    """Whether a header in upper case may stand for a wanted name: a date by any name that holds the word, others by the name within other signs."""
+    if column == "DATE":
+        return "DATE" in name and (name.endswith(" DATE") or name.startswith("DATE ") or not any(x in name for x in NO_DATES))
+    return re.search(rf"(?<![A-Z0-9]){re.escape(wanted)}(?![A-Z0-9])", name) is not None
+
+
+def parts(names: Sequence[str]) -> dict[str, str]:
+    """The header that stands for each wanted column: of equal names the first wanted one, else the first that may stand for it."""
+    upper = [(n, n.upper().strip()) for n in names]
+    found: dict[str, str] = {}
+    for column, wanted in WANTED.items():
+        tests = [lambda n, w: n == w, lambda n, w, c=column: _stands(n, c, w)]
+        hit = next((raw for test in tests for w in wanted for raw, n in upper if test(n, w)), None)
+        if hit is not None:
+            found[column] = hit
+    return found
 
 
 def header_mapping(names: Sequence[str]) -> tuple[bool, list[str], dict[str, str]]:
     """Whether a header suffices (date, description, and debit with credit or an amount), what it lacks, and the mapping."""
-    found = parts(names, WANTED)
-    lacking = [c for c in ("DATE", "DESCRIPTION") if c not in found]
-    if not ("DEBIT" in found and "CREDIT" in found) and "AMOUNT" not in found:
-        lacking += [c for c in ("DEBIT", "CREDIT") if c not in found]
+    found = parts(names)
+    lacking = [c for c in ("DATE", "DESCRIPTION") if c not in found] + [c for c in ("DEBIT", "CREDIT") if c not in found and "AMOUNT" not in found]
     return not lacking, lacking, found

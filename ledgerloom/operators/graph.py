@@ -137,10 +137,10 @@ def smurfing(rows: DataFrame, least_targets: int = 3, amount: float = 10_000, to
 
 
 def structuring(rows: DataFrame, by: str = "src", thresholds: tuple[int, ...] = (10_000, 5_000, 3_000)) -> DataFrame:
-    """The share of amounts just below a threshold (half weighted), round amounts above 70 % and repeated amounts, cut at 1."""
+    """The share of amounts just below a threshold (half weighted), round amounts above 70 % and how many amounts repeat, cut at 1."""
     near = [F.avg(((F.col("amount") >= 0.8 * t) & (F.col("amount") < t)).cast("double")).alias(f"s{t}") for t in thresholds]
     g = rows.groupBy(by).agg(*near, F.avg((F.pmod("amount", F.lit(100.0)) == 0).cast("double")).alias("r"), F.count("*").alias("n"))
-    repeat = rows.groupBy(by, "amount").agg(F.count("*").alias("k")).groupBy(by).agg(F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("repeated"))
+    repeat = rows.groupBy(by, "amount").agg(F.count("*").alias("k")).groupBy(by).agg(F.sum(F.when(F.col("k") > 1, 1).otherwise(0)).alias("repeated"))
     score = sum((F.col(f"s{t}") * 0.5 for t in thresholds), F.lit(0.0)) + F.when(F.col("r") > 0.7, 0.3).otherwise(0.0) + F.least(F.lit(0.4), F.col("repeated") / F.col("n"))
     return g.join(repeat, by).select(by, F.least(F.lit(1.0), score).alias("score"))
 

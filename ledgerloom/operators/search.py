@@ -11,7 +11,23 @@ from pyspark.sql import functions as F
 
 CASH_WORDS = ("CASH", "ATM", "WITHDRAWAL", "CHQ")
 #: Fixed values, in order of precedence: the words of a description that tell a payment's type.
-TYPE_WORDS = (("NEFT", ("NEFT",)), ("RTGS", ("RTGS",)), ("IMPS", ("IMPS",)), ("UPI", ("UPI", "@")), ("CHEQUE", ("CHQ", "CHEQUE")), ("CASH", ("CASH", "ATM")), ("DD", ("DEMAND DRAFT", "DD ")), ("MOBILE", ("MOB",)), ("NETBANKING", ("NET",)), ("CARD", ("CARD", "POS")), ("WIRE", ("WIRE",)), ("ACH", ("ACH",)), ("SWIFT", ("SWIFT",)), ("TRANSFER", ("TRANSFER", "TRF")))
+TYPE_WORDS = (
+    ("NEFT", ("NEFT", "NATIONAL ELECTRONIC FUND TRANSFER")),
+    ("RTGS", ("RTGS", "REAL TIME GROSS SETTLEMENT", "REAL-TIME")),
+    ("IMPS", ("IMPS", "IMMEDIATE PAYMENT")),
+    ("UPI", ("UPI", "UNIFIED PAYMENTS INTERFACE", "@", "UPI/")),
+    ("CHQ", ("CHEQUE", "CHQ", "CHEQUE NO", "CHEQUE NO.", "CHQ NO")),
+    ("CASH", ("CASH", "ATM", "WITHDRAWAL", "DEPOSIT")),
+    ("DD", ("DEMAND DRAFT", "DD", "DD NO", "DD NO.")),
+    ("MOB", ("MOBILE", "MOB", "MOBILE BANKING")),
+    ("NET", ("NET BANKING", "NETBANKING", "INTERNET BANKING", "ONLINE")),
+    ("CARD", ("CARD", "DEBIT CARD", "CREDIT CARD", "ATM CARD")),
+    ("WIRE", ("WIRE", "WIRE TRANSFER")),
+    ("ACH", ("ACH", "AUTOMATIC CLEARING HOUSE")),
+    ("SWIFT", ("SWIFT", "MT103", "MT202")),
+)
+#: What tells the type of a transfer that names none.
+TRANSFER_WORDS, TRANSFER_TYPES = ("TRANSFER", "TRF"), (("IMPS", ("IMMEDIATE", "INSTANT")), ("RTGS", ("REAL", "GROSS")))
 
 
 def has_word(text: Column, words: Sequence[str]) -> Column:
@@ -20,20 +36,28 @@ def has_word(text: Column, words: Sequence[str]) -> Column:
 
 
 def payment_type(text: Column) -> Column:
-    """The type of the first word list that a description holds, in order of precedence; OTHER for none, empty and null."""
+    """The type of the first word list that a description holds, in order of precedence; a transfer that none fits may tell its
+    type by other words; OTHER for anything else, empty and null."""
     up = F.upper(F.coalesce(text, F.lit("")))
-    out = F.lit("OTHER")
-    for name, words in reversed(TYPE_WORDS):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(up, F.lit(w))
-        out = F.when(hit, name).otherwise(out)
-    return out
+    holds = lambda words: up.rlike("|".join(re.escape(w) for w in words))
+    chain = None
+    for name, words in TYPE_WORDS:
+        chain = F.when(holds(words), name) if chain is None else chain.when(holds(words), name)
+    for name, words in TRANSFER_TYPES:
+        chain = chain.when(holds(TRANSFER_WORDS) & holds(words), name)
+    return chain.otherwise("OTHER")
+
+
+#: The same rule in SQL, written out by itself.
+TYPE_SQL = """CASE WHEN contains(u, 'NEFT') OR contains(u, 'NATIONAL ELECTRONIC FUND TRANSFER') THEN 'NEFT' WHEN contains(u, 'RTGS') OR contains(u, 'REAL TIME GROSS SETTLEMENT') OR contains(u, 'REAL-TIME') THEN 'RTGS'
+ WHEN contains(u, 'IMPS') OR contains(u, 'IMMEDIATE PAYMENT') THEN 'IMPS' WHEN contains(u, 'UPI') OR contains(u, 'UNIFIED PAYMENTS INTERFACE') OR contains(u, '@') THEN 'UPI' WHEN contains(u, 'CHEQUE') OR contains(u, 'CHQ') THEN 'CHQ'
+ WHEN contains(u, 'CASH') OR contains(u, 'ATM') OR contains(u, 'WITHDRAWAL') OR contains(u, 'DEPOSIT') THEN 'CASH' WHEN contains(u, 'DEMAND DRAFT') OR contains(u, 'DD') THEN 'DD' WHEN contains(u, 'MOB') THEN 'MOB'
+ WHEN contains(u, 'NET BANKING') OR contains(u, 'NETBANKING') OR contains(u, 'INTERNET BANKING') OR contains(u, 'ONLINE') THEN 'NET' WHEN contains(u, 'CARD') THEN 'CARD' WHEN contains(u, 'WIRE') THEN 'WIRE' WHEN contains(u, 'ACH') OR contains(u, 'AUTOMATIC CLEARING HOUSE') THEN 'ACH'
+ WHEN contains(u, 'SWIFT') OR contains(u, 'MT103') OR contains(u, 'MT202') THEN 'SWIFT' WHEN (contains(u, 'TRANSFER') OR contains(u, 'TRF')) AND (contains(u, 'IMMEDIATE') OR contains(u, 'INSTANT')) THEN 'IMPS' WHEN (contains(u, 'TRANSFER') OR contains(u, 'TRF')) AND (contains(u, 'REAL') OR contains(u, 'GROSS')) THEN 'RTGS' ELSE 'OTHER' END"""
 
 
 def type_sql(column: str) -> str:
-    whens = " ".join(f"WHEN {' OR '.join(f"contains(upper(coalesce({column}, '')), '{w}')" for w in words)} THEN '{name}'" for name, words in TYPE_WORDS)
-    return f"CASE {whens} ELSE 'OTHER' END"
+    return re.sub(r"\bu\b", f"upper(coalesce({column}, ''))", TYPE_SQL)
 
 
 def label(counterparty: Column, description: Column) -> Column:

@@ -83,7 +83,7 @@ def g03_g09_cycle_scores(spark, folder):
 
 
 @query("""{E}, g AS (SELECT src, avg(CASE WHEN amount >= 8000 AND amount < 10000 THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN amount >= 4000 AND amount < 5000 THEN 1.0 ELSE 0.0 END) AS b, avg(CASE WHEN amount >= 2400 AND amount < 3000 THEN 1.0 ELSE 0.0 END) AS c, avg(CASE WHEN amount % 100 = 0 THEN 1.0 ELSE 0.0 END) AS r, count(*) AS n FROM R GROUP BY 1),
- q AS (SELECT src, sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS k FROM (SELECT src, amount, count(*) AS k FROM R GROUP BY 1, 2) GROUP BY 1) SELECT src, round(CAST(least(1.0, (a + b + c) * 0.5 + CASE WHEN r > 0.7 THEN 0.3 ELSE 0 END + least(0.4, k * 1.0 / n)) AS DOUBLE), 4) AS score FROM g JOIN q USING (src)""")
+ q AS (SELECT src, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS k FROM (SELECT src, amount, count(*) AS k FROM R GROUP BY 1, 2) GROUP BY 1) SELECT src, round(CAST(least(1.0, (a + b + c) * 0.5 + CASE WHEN r > 0.7 THEN 0.3 ELSE 0 END + least(0.4, k * 1.0 / n)) AS DOUBLE), 4) AS score FROM g JOIN q USING (src)""")
 def g07_structuring(spark, folder):
     return graph.structuring(event_rows(spark, folder)).withColumn("score", F.round("score", 4))
 
@@ -99,13 +99,17 @@ def g13_page_rank(spark, folder):
     return graph.page_rank(graph.edges(event_ledger(spark, folder)))
 
 
-@query("""{E} SELECT count(DISTINCT node) AS nodes, 1 AS components FROM (SELECT src AS node FROM E UNION SELECT dst FROM E)""", "g15_component_count")
+#: Labels spread from each node to all it reaches, both ways; UNION drops what was reached before.
+REACH = """WITH RECURSIVE {E_}, U AS (SELECT src AS a, dst AS b FROM E UNION SELECT dst, src FROM E), C(node, label) AS (SELECT a, a FROM U UNION SELECT U.b, C.label FROM C JOIN U ON U.a = C.node WHERE C.label < U.b), K AS (SELECT node, min(label) AS component FROM C GROUP BY 1)""".replace("{E_}", E_SQL)
+
+
+@query(REACH + " SELECT count(*) AS nodes, count(DISTINCT component) AS components FROM K", "g15_component_count")
 def _wcc_count(spark, folder):
     c = graph.components(graph.edges(event_ledger(spark, folder)))
-    return c.agg(F.count("*").alias("nodes"), F.countDistinct("component").cast("int").alias("components"))
+    return c.agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("components"))
 
 
-@query()
+@query(REACH + " SELECT node, component FROM K")
 def g15_components(spark, folder):
     return graph.components(graph.edges(event_ledger(spark, folder)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import mule as M
@@ -28,7 +30,7 @@ def a17_lifetime_flow(spark, folder):
 
 
 def _interval_sql(keys: str, tolerance: float, least: int) -> str:
-    n = keys.count(" AS ") + 1
+    n = len(re.findall(r" AS [a-z]+(?:,|$)", keys)) + 1
     return f"""{{L}}, p AS (SELECT entity_id, {keys}, sum(credit) AS c, sum(debit) AS d FROM L GROUP BY {', '.join(str(k) for k in range(1, n + 1))}), g AS (SELECT entity_id, count(*) AS periods, sum(CASE WHEN abs(c - d) / (c + d) <= {tolerance} THEN 1 ELSE 0 END) AS balanced FROM p WHERE c > 0 AND d > 0 GROUP BY 1)
  SELECT entity_id, periods, balanced, round(balanced * 1.0 / periods, 4) AS share, periods >= {least} AND balanced * 1.0 / periods >= 0.6 AS found FROM g"""
 
@@ -42,14 +44,23 @@ query(_interval_sql("year(d) AS y, weekofyear(d) AS k", 0.15, 2), "a15_weekly_ba
 query(_interval_sql("strftime(d, '%Y-%m') AS k", 0.20, 2), "a15_monthly_balance")(_interval("monthly"))
 
 
-@query("""{L}, m AS (SELECT entity_id, min(d) AS t0, max(d) AS t1, count(*) AS n FROM L GROUP BY 1 HAVING count(*) >= 5 AND epoch_us(max(d)) - epoch_us(min(d)) >= 7 * 86400000000),
- w AS (SELECT entity_id, t0, unnest(generate_series(0, CAST(floor((epoch_us(t1) - epoch_us(t0) - 7 * 86400000000) / (3 * 86400000000.0)) AS BIGINT))) AS k FROM m),
- p AS (SELECT w.entity_id, w.k, sum(credit) AS c, sum(debit) AS d, count(*) AS n FROM w JOIN L ON L.entity_id = w.entity_id AND epoch_us(L.d) >= epoch_us(t0) + k * 3 * 86400000000 AND epoch_us(L.d) < epoch_us(t0) + k * 3 * 86400000000 + 7 * 86400000000 GROUP BY 1, 2),
- g AS (SELECT entity_id, count(*) AS periods, sum(CASE WHEN abs(c - d) / (c + d) <= 0.15 THEN 1 ELSE 0 END) AS balanced FROM p WHERE n >= 2 AND c > 0 AND d > 0 GROUP BY 1) SELECT entity_id, periods, balanced, round(balanced * 1.0 / periods, 4) AS share, periods >= 3 AND balanced * 1.0 / periods >= 0.5 AS found FROM g""")
+ROLLING = """{L}, m AS (SELECT entity_id, min(d) AS t0, max(d) AS t1, count(*) AS n FROM L GROUP BY 1 HAVING count(*) >= 5 AND epoch_us(max(d)) - epoch_us(min(d)) >= {W} * 86400000000),
+ w AS (SELECT entity_id, t0, unnest(generate_series(0, CAST(floor((epoch_us(t1) - epoch_us(t0) - {W} * 86400000000) / (3 * 86400000000.0)) AS BIGINT))) AS k FROM m),
+ p AS (SELECT w.entity_id, w.k, sum(credit) AS c, sum(debit) AS d, count(*) AS n FROM w JOIN L ON L.entity_id = w.entity_id AND epoch_us(L.d) >= epoch_us(t0) + k * 3 * 86400000000 AND epoch_us(L.d) < epoch_us(t0) + k * 3 * 86400000000 + {W} * 86400000000 GROUP BY 1, 2),
+ g AS (SELECT entity_id, count(*) AS periods, sum(CASE WHEN abs(c - d) / (c + d) <= 0.15 THEN 1 ELSE 0 END) AS balanced FROM p WHERE n >= 2 AND c > 0 AND d > 0 GROUP BY 1) SELECT entity_id, periods, balanced, round(balanced * 1.0 / periods, 4) AS share, periods >= 3 AND balanced * 1.0 / periods >= 0.5 AS found FROM g"""
+
+
+@query(ROLLING.replace("{W}", "7"))
 def a16_j15_rolling_balance(spark, folder):
     return M.rolling_balance(event_ledger(spark, folder), 7).withColumn("share", F.round("share", 4))
 
 
+@query(ROLLING.replace("{W}", "10"))
+def a16_ten_day_balance(spark, folder):
+    """The same over ten days: the events span thirty, so a window of thirty days never fits in."""
+    return M.rolling_balance(event_ledger(spark, folder), 10).withColumn("share", F.round("share", 4))
+
+
 @query("""{L}, x AS (SELECT entity_id, 'CR' AS side, credit AS a FROM L WHERE credit > 0 UNION ALL SELECT entity_id, 'DR', debit FROM L WHERE debit > 0) SELECT entity_id, side, count(*) AS n, round(sum(a), 2) AS total, round(quantile_cont(a, 0.5), 3) AS median, round(quantile_cont(a, 0.25), 3) AS q1, round(quantile_cont(a, 0.75), 3) AS q3, round(stddev_pop(a) / avg(a), 4) AS variation FROM x GROUP BY 1, 2""")
 def a18_phases(spark, folder):
     p = M.phases(event_ledger(spark, folder))

@@ -56,10 +56,27 @@ def g27_merge_pairs(spark, folder):
     return resolve.merge_pairs(c)
 
 
-@query("""SELECT bank_key, CASE WHEN date_header IS NULL THEN false ELSE true END AS has_date, CASE WHEN debit_header IS NOT NULL AND credit_header IS NOT NULL OR amount_header IS NOT NULL THEN true ELSE false END AS has_sides FROM bank_header_mappings""")
-def s10_header_needs(spark, folder):
+_H = "WITH h AS (SELECT bank_key, list_filter([date_header, description_header, debit_header, credit_header, amount_header, direction_header], lambda x: x IS NOT NULL) AS names FROM bank_header_mappings), u AS (SELECT bank_key, names, list_transform(names, lambda x: upper(trim(x))) AS up FROM h)"
+
+
+def _first(wanted: tuple[str, ...], column: str) -> str:
+    """The header that stands for a column, in SQL: the first wanted name that one equals, else the first that one holds."""
+    stands = lambda w: "contains(x, 'DATE') AND (ends_with(x, ' DATE') OR starts_with(x, 'DATE ') OR NOT regexp_matches(x, 'NO_DATE|UPDATE_DATE|CREATE_DATE'))" if column == "DATE" else f"regexp_matches(x, '(^|[^A-Z0-9]){w}([^A-Z0-9]|$)')"
+    tests = [f"x = '{w}'" for w in wanted] + [stands(w) for w in wanted]
+    return "coalesce(" + ", ".join(f"names[list_position(list_transform(up, lambda x: {t}), true)]" for t in tests) + ")"
+
+
+@query(f"""{_H}, m AS (SELECT bank_key, {', '.join(f"{_first(w, c)} AS {c.lower()}_name" for c, w in X.WANTED.items())} FROM u)
+ SELECT bank_key, coalesce(date_name, '') AS date_name, coalesce(description_name, '') AS description_name, coalesce(debit_name, '') AS debit_name, coalesce(credit_name, '') AS credit_name, coalesce(amount_name, '') AS amount_name, coalesce(direction_name, '') AS direction_name,
+ date_name IS NOT NULL AND description_name IS NOT NULL AND (debit_name IS NOT NULL AND credit_name IS NOT NULL OR amount_name IS NOT NULL) AS suffices FROM m""")
+def s10_header_inference(spark, folder):
+    """What each bank's headers stand for, told from their names alone; a table of headers, one row a bank."""
     m = table(spark, folder, "bank_header_mappings")
-    return m.select("bank_key", F.col("date_header").isNotNull().alias("has_date"), ((F.col("debit_header").isNotNull() & F.col("credit_header").isNotNull()) | F.col("amount_header").isNotNull()).alias("has_sides"))
+    rows = []
+    for r in m.collect():  # a table of fixed size
+        ok, _, found = X.header_mapping([x for x in (r.date_header, r.description_header, r.debit_header, r.credit_header, r.amount_header, r.direction_header) if x is not None])
+        rows.append((r.bank_key, *[found.get(c, "") for c in X.WANTED], ok))
+    return spark.createDataFrame(rows, "bank_key string, " + ", ".join(f"{c.lower()}_name string" for c in X.WANTED) + ", suffices boolean")
 
 
 @query()
