@@ -19,17 +19,19 @@ def periods(ledger: DataFrame, grain: str = "day", by: str = "entity_id") -> Dat
     """Sums, counts, means and deviations of debits, credits, net flow and activity by period (hour, day, week, month).
 
     Debits and credits are never null in a ledger, so each is counted once a row: ``intensity`` is twice the rows. The
-    mode of the hour is the smallest of the most frequent ones. Rows without a date are left out.
+    modes of the hour and the weekday (1 Monday) are the smallest of the most frequent ones. Rows without a date are left out.
     """
     led = ledger.where("DATE is not null").withColumns({"period": F.date_trunc(grain, "DATE"), "h": F.hour("DATE"), "net": F.col("CREDIT") - F.col("DEBIT"), "act": F.col("CREDIT") + F.col("DEBIT")})
-    hours = led.groupBy(by, "period", "h").agg(F.count("*").alias("k")).groupBy(by, "period").agg(F.max_by("h", F.struct("k", -F.col("h"))).alias("hour_mode"))
+    mode = lambda c, name: led.groupBy(by, "period", c.alias("v")).agg(F.count("*").alias("k")).groupBy(by, "period").agg(F.max_by("v", F.struct("k", -F.col("v"))).alias(name))
+    hours, weekdays = mode(F.col("h"), "hour_mode"), mode(F.weekday("DATE") + 1, "weekday_mode")
     std = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
     agg = led.groupBy(by, "period").agg(
         F.sum("DEBIT").alias("debit_sum"), F.count("DEBIT").alias("debit_count"), F.avg("DEBIT").alias("debit_mean"), std("DEBIT").alias("debit_std"),
         F.sum("CREDIT").alias("credit_sum"), F.count("CREDIT").alias("credit_count"), F.avg("CREDIT").alias("credit_mean"), std("CREDIT").alias("credit_std"),
-        F.sum("net").alias("net_flow_sum"), F.sum("act").alias("activity_sum"), F.avg("act").alias("activity_mean"),
+        F.sum("net").alias("net_flow_sum"), F.avg("net").alias("net_flow_mean"), F.sum("act").alias("activity_sum"), F.avg("act").alias("activity_mean"),
     )
-    return agg.join(hours, [by, "period"]).withColumns({"intensity": F.col("debit_count") + F.col("credit_count"), "volatility": (F.col("debit_std") + F.col("credit_std")) / 2})
+    ratio = F.when(F.col("credit_sum") > 0, F.col("debit_sum") / (F.col("credit_sum") + SMALL))  # without credits it is no ratio
+    return agg.join(hours, [by, "period"]).join(weekdays, [by, "period"]).withColumn("ratio", ratio).withColumns({"intensity": F.col("debit_count") + F.col("credit_count"), "volatility": (F.col("debit_std") + F.col("credit_std")) / 2})
 
 
 def daily_series(ledger: DataFrame, by: str = "entity_id") -> DataFrame:
@@ -40,19 +42,34 @@ def daily_series(ledger: DataFrame, by: str = "entity_id") -> DataFrame:
 
 
 def trend(series: DataFrame, metric: str, by: str = "entity_id") -> DataFrame:
-    """Least squares of a metric on days since the first period: slope, r2 and label; fewer than two periods give zeros.
+    """Least squares of a metric on days since the first period: n, slope, intercept, r2, t, pseudo_p and label; fewer than two periods give zeros.
 
-    r2 is 1 - SSres / (SStot + 1e-10): strong above 0.7, moderate above 0.3, else weak.
+    r2 is 1 - SSres / (SStot + 1e-10): strong above 0.7, moderate above 0.3, else weak. t is r sqrt(n - 2) / sqrt(1 - r2), null where that isn't defined;
+    pseudo_p is 2 (1 - |t| / (|t| + n - 2)), which is no probability.
     """
     x = F.datediff("period", F.min("period").over(W.partitionBy(by))).cast("double")
     s = series.withColumn("x", x)
-    g = s.groupBy(by).agg(F.count("*").alias("n"), slope(metric, "x").alias("b"), (corr(metric, "x") * corr(metric, "x")).alias("r"), (F.var_pop(metric) * F.count("*")).alias("syy"))
+    g = s.groupBy(by).agg(F.count("*").alias("n"), slope(metric, "x").alias("b"), corr(metric, "x").alias("c"), (F.var_pop(metric) * F.count("*")).alias("syy"), F.avg(metric).alias("my"), F.avg("x").alias("mx"))
     flat = (F.col("n") < 2) | F.col("b").isNull()
-    r2 = F.when(flat, 0.0).otherwise(1 - (1 - F.coalesce("r", F.lit(1.0))) * F.col("syy") / (F.col("syy") + SMALL))
-    out = g.select(by, "n", F.when(flat, 0.0).otherwise(F.col("b")).alias("slope"), r2.alias("r2"))
+    r = F.col("c") * F.col("c")
+    r2 = F.when(flat, 0.0).otherwise(1 - (1 - F.coalesce(r, F.lit(1.0))) * F.col("syy") / (F.col("syy") + SMALL))
+    t = F.when(~flat & (F.col("n") > 2), F.col("c") * F.sqrt(F.col("n") - 2) / F.sqrt(F.nullif(F.greatest(F.lit(0.0), 1 - r), F.lit(0.0))))
+    p = F.when(t.isNotNull(), 2 * (1 - F.abs(t) / (F.abs(t) + F.col("n") - 2)))
+    out = g.select(by, "n", F.when(flat, 0.0).otherwise(F.col("b")).alias("slope"), F.when(flat, 0.0).otherwise(F.col("my") - F.col("b") * F.col("mx")).alias("intercept"), r2.alias("r2"), t.alias("t"), p.alias("pseudo_p"))
     return out.withColumn("strength", F.when(F.col("r2") > 0.7, "strong").when(F.col("r2") > 0.3, "moderate").otherwise("weak"))
 
 
+METRICS = ("debit", "credit", "net", "activity")
+
+
+def trends(series: DataFrame, metrics: tuple[str, ...] = METRICS, by: str = "entity_id") -> DataFrame:
+    """The trend of each metric, one row an entity and metric."""
+    long = series.select(by, "period", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("x")).select(by, "period", "x.*")
+    key = F.concat_ws("|", F.col(by).cast("string"), "metric")
+    ids = long.select(key.alias("_key"), by, "metric").distinct()
+    return trend(long.withColumn("_key", key), "value", "_key").join(ids, "_key").drop("_key")
+
+
 def moving(series: DataFrame, metric: str, most: int = 7, by: str = "entity_id", deviation: bool = False) -> DataFrame:
     """The rolling mean (or population deviation) over w = min(most, n // 3) periods, null before the first full window; w < 2 gives nulls."""
     w = F.least(F.lit(most), F.floor(F.col("n") / 3)).cast("int")
@@ -121,6 +138,13 @@ def zero_crossings(series: DataFrame, by: str = "entity_id") -> DataFrame:
     return s.groupBy(by).agg((F.sum("turn") / F.max("n")).alias("frequency"), (F.stddev_pop("de") / (F.avg(F.abs("activity")) + SMALL)).alias("strength"))
 
 
+def month_of_year(series: DataFrame, by: str = "entity_id") -> DataFrame:
+    """by, month, periods, mean and deviation (n - 1; 0 for one period) of activity over the same month of all years, and whether it is the peak."""
+    g = series.groupBy(by, F.month("period").alias("month")).agg(F.count("*").alias("periods"), F.avg("activity").alias("mean"), F.coalesce(F.stddev_samp("activity"), F.lit(0.0)).alias("deviation"))
+    top = g.groupBy(by).agg(F.max_by("month", F.struct("mean", -F.col("month"))).alias("peak"))
+    return g.join(top, by).withColumn("is_peak", F.col("month") == F.col("peak")).drop("peak")
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 

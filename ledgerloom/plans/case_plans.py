@@ -253,23 +253,57 @@ def a05_entity_risk(spark, folder):
     return entity_risk(table(spark, folder, "transactions")).join(table(spark, folder, "entities").select("entity_id"), "entity_id", "left_semi").select("entity_id", "score")
 
 
-@query("""WITH x AS (SELECT coalesce(nullif(counterparty_merged, ''), nullif(description, ''), 'Unknown') AS label, direction, CAST(amount AS DOUBLE) AS amount FROM transactions)
- SELECT label, count(*) AS n, round(sum(CASE WHEN direction = 'DR' THEN amount ELSE 0 END), 2) AS debit, round(sum(CASE WHEN direction = 'CR' THEN amount ELSE 0 END), 2) AS credit, round(max(amount), 2) AS largest FROM x GROUP BY 1""")
+@query("""WITH x AS (SELECT coalesce(nullif(counterparty_merged, ''), nullif(description, ''), 'Unknown') AS label, direction, CAST(amount AS DOUBLE) AS amount, created_at AS d, transaction_id, description FROM transactions),
+ g AS (SELECT label, count(*) AS n, sum(CASE WHEN direction = 'DR' THEN amount ELSE 0 END) AS dr, sum(CASE WHEN direction = 'CR' THEN amount ELSE 0 END) AS cr, avg(amount) AS m, max(amount) AS x, min(d) AS f, max(d) AS l, greatest(1, CAST(ceil((epoch_us(max(d)) - epoch_us(min(d))) / 86400000000.0) AS BIGINT) + 1) AS days, arg_min(coalesce(description, ''), (d, transaction_id)) AS first_description FROM x GROUP BY 1)
+ SELECT label, n, round(dr, 2) AS debit, round(cr, 2) AS credit, round(dr + cr, 2) AS volume, round(cr - dr, 2) AS net, round(m, 6) AS mean, round(x, 2) AS largest, epoch_us(f) AS first_micros, epoch_us(l) AS last_micros, days AS days_active, round(n * 1.0 / days, 4) AS frequency, first_description FROM g""")
 def a06_counterparty_stats(spark, folder):
-    t = table(spark, folder, "transactions").select(S.label(F.col("counterparty_merged"), F.col("description")).alias("label"), "direction", F.col("amount").cast("double").alias("amount"))
-    side = lambda d: F.round(F.sum(F.when(F.col("direction") == d, F.col("amount")).otherwise(0.0)), 2)
-    return t.groupBy("label").agg(F.count("*").alias("n"), side("DR").alias("debit"), side("CR").alias("credit"), F.round(F.max("amount"), 2).alias("largest"))
+    """Each label's counts, sums by side, volume, net, mean and largest amount, first and last time it was recorded, days active, rows a day, and first description."""
+    t = table(spark, folder, "transactions").select(S.label(F.col("counterparty_merged"), F.col("description")).alias("label"), "direction", F.col("amount").cast("double").alias("amount"), F.unix_micros("created_at").alias("d"), "transaction_id", F.coalesce("description", F.lit("")).alias("description"))
+    side = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount")).otherwise(0.0))
+    days = F.greatest(F.lit(1), F.ceil((F.max("d") - F.min("d")) / 86_400_000_000) + 1)
+    g = t.groupBy("label").agg(F.count("*").alias("n"), side("DR").alias("dr"), side("CR").alias("cr"), F.round(F.avg("amount"), 6).alias("mean"), F.round(F.max("amount"), 2).alias("largest"), F.min("d").alias("first_micros"), F.max("d").alias("last_micros"), days.alias("days_active"), F.min_by("description", F.struct("d", "transaction_id")).alias("first_description"))
+    two = lambda c, n: F.round(c, 2).alias(n)
+    return g.select("label", "n", two(F.col("dr"), "debit"), two(F.col("cr"), "credit"), two(F.col("dr") + F.col("cr"), "volume"), two(F.col("cr") - F.col("dr"), "net"), "mean", "largest", "first_micros", "last_micros", "days_active", F.round(F.col("n") / F.col("days_active"), 4).alias("frequency"), "first_description")
+
+
+@query("SELECT counterparty_merged AS counterparty, entity_id, count(*) AS n FROM transactions WHERE counterparty_merged IS NOT NULL AND entity_id IN (SELECT entity_id FROM case_entities JOIN cases USING (case_id) WHERE status = 'Active') GROUP BY 1, 2")
+def a07_case_counterparties(spark, folder):
+    """How often each entity of an active case deals with each counterparty."""
+    members = table(spark, folder, "case_entities").join(table(spark, folder, "cases").where("status = 'Active'").select("case_id"), "case_id", "left_semi").select("entity_id")
+    t = table(spark, folder, "transactions").where("counterparty_merged is not null").join(members, "entity_id", "left_semi")
+    return t.groupBy(F.col("counterparty_merged").alias("counterparty"), "entity_id").agg(F.count("*").alias("n"))
+
+
+def _sides(prefix: str = "") -> str:
+    return "CAST(sum(CASE WHEN direction = 'DR' THEN amount ELSE 0 END) AS DECIMAL(20,2)) AS debits, CAST(sum(CASE WHEN direction = 'CR' THEN amount ELSE 0 END) AS DECIMAL(20,2)) AS credits, CAST(sum(CASE WHEN direction = 'CR' THEN amount WHEN direction = 'DR' THEN -amount ELSE 0 END) AS DECIMAL(20,2)) AS net"
+
+
+def _side(d: str, name: str):
+    return F.sum(F.when(F.col("direction") == d, F.col("amount")).otherwise(0)).cast("decimal(20,2)").alias(name)
+
 
+def _net():
+    return F.sum(F.when(F.col("direction") == "CR", F.col("amount")).when(F.col("direction") == "DR", -F.col("amount")).otherwise(0)).cast("decimal(20,2)").alias("net")
 
-@query(f"SELECT {S.type_sql('description')} AS payment_type, count(*) AS n, CAST(sum(amount) AS DECIMAL(20,2)) AS total, min(amount) AS least, max(amount) AS most FROM transactions GROUP BY 1")
+
+@query(f"SELECT {S.type_sql('description')} AS payment_type, count(*) AS n, CAST(sum(amount) AS DECIMAL(20,2)) AS total, {_sides()}, round(avg(CAST(amount AS DOUBLE)), 3) AS mean, min(amount) AS least, max(amount) AS most FROM transactions GROUP BY 1")
 def a08_type_stats(spark, folder):
-    return table(spark, folder, "transactions").groupBy(S.payment_type(F.col("description")).alias("payment_type")).agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(20,2)").alias("total"), F.min("amount").alias("least"), F.max("amount").alias("most"))
+    return table(spark, folder, "transactions").groupBy(S.payment_type(F.col("description")).alias("payment_type")).agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(20,2)").alias("total"), _side("DR", "debits"), _side("CR", "credits"), _net(), F.round(F.avg(F.col("amount").cast("double")), 3).alias("mean"), F.min("amount").alias("least"), F.max("amount").alias("most"))
 
 
-@query("SELECT CASE WHEN regexp_matches(coalesce(description, ''), '(?i)cash|atm|withdrawal|chq') THEN 'cash' ELSE 'bank' END AS channel, count(*) AS n, CAST(sum(CASE WHEN direction = 'DR' THEN amount ELSE 0 END) AS DECIMAL(20,2)) AS debits, CAST(sum(CASE WHEN direction = 'CR' THEN amount ELSE 0 END) AS DECIMAL(20,2)) AS credits FROM transactions GROUP BY 1")
+@query(f"SELECT CASE WHEN regexp_matches(coalesce(description, ''), '(?i)cash|atm|withdrawal|chq') THEN 'cash' ELSE 'bank' END AS channel, count(*) AS n, {_sides()}, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM transactions GROUP BY 1")
 def a09_a32_cash_split(spark, folder):
-    side = lambda d: F.sum(F.when(F.col("direction") == d, F.col("amount")).otherwise(0)).cast("decimal(20,2)")
-    return table(spark, folder, "transactions").groupBy(F.when(S.has_word(F.coalesce("description", F.lit("")), S.CASH_WORDS), "cash").otherwise("bank").alias("channel")).agg(F.count("*").alias("n"), side("DR").alias("debits"), side("CR").alias("credits"))
+    """Cash and bank movements: counts, sums, net, and their share of all rows."""
+    g = table(spark, folder, "transactions").groupBy(F.when(S.has_word(F.coalesce("description", F.lit("")), S.CASH_WORDS), "cash").otherwise("bank").alias("channel")).agg(F.count("*").alias("n"), _side("DR", "debits"), _side("CR", "credits"), _net())
+    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 6))  # two rows
+
+
+@query("""WITH g AS (SELECT entity_id, count(*) AS n, avg(CASE WHEN regexp_matches(coalesce(description, ''), '(?i)cash|atm|withdrawal|chq') THEN 1.0 ELSE 0.0 END) AS r, sum(CASE WHEN regexp_matches(coalesce(description, ''), '(?i)cash|atm|withdrawal|chq') THEN amount ELSE 0 END) AS v FROM transactions GROUP BY 1)
+ SELECT entity_id, n, CAST(v AS DECIMAL(20,2)) AS cash_volume, round(r, 4) AS cash_share, CASE WHEN r >= 0.7 THEN 'high' WHEN r >= 0.4 THEN 'medium' ELSE 'low' END AS band FROM g""")
+def a32_cash_bands(spark, folder):
+    cash = S.has_word(F.coalesce("description", F.lit("")), S.CASH_WORDS)
+    g = table(spark, folder, "transactions").groupBy("entity_id").agg(F.count("*").alias("n"), F.sum(F.when(cash, F.col("amount")).otherwise(0)).cast("decimal(20,2)").alias("cash_volume"), F.avg(cash.cast("double")).alias("r"))
+    return g.select("entity_id", "n", "cash_volume", F.round("r", 4).alias("cash_share"), F.when(F.col("r") >= 0.7, "high").when(F.col("r") >= 0.4, "medium").otherwise("low").alias("band"))
 
 
 @query("SELECT counterparty_merged AS counterparty, entity_id, CAST(sum(amount) AS DECIMAL(20,2)) AS total, CAST(sum(sum(amount)) OVER (PARTITION BY counterparty_merged) AS DECIMAL(20,2)) AS row_total FROM transactions WHERE counterparty_merged IS NOT NULL GROUP BY 1, 2")
@@ -280,6 +314,45 @@ def a10_matrix(spark, folder):
     return cell.join(cell.groupBy("counterparty").agg(F.sum("total").cast("decimal(20,2)").alias("row_total")), "counterparty")
 
 
+@query("""WITH a AS (SELECT DISTINCT entity_id FROM transactions WHERE entity_id IS NOT NULL) SELECT count(*) AS asked, count(e.entity_id) AS found, round(count(e.entity_id) * 100.0 / count(*), 2) AS success_rate, string_agg(CASE WHEN e.entity_id IS NULL THEN a.entity_id END, ',' ORDER BY a.entity_id) AS missing FROM a LEFT JOIN (SELECT DISTINCT entity_id FROM entities) e USING (entity_id)""")
+def a33_coverage(spark, folder):
+    """How many of the entities that transactions name are registered, and which aren't (as one text: a report of a ledger's gaps)."""
+    a = table(spark, folder, "transactions").where("entity_id is not null").select("entity_id").distinct()
+    j = a.join(table(spark, folder, "entities").select("entity_id").distinct().withColumn("there", F.lit(1)), "entity_id", "left")
+    return j.agg(F.count("*").alias("asked"), F.count("there").alias("found"), F.round(F.count("there") * 100.0 / F.count("*"), 2).alias("success_rate"), F.nullif(F.array_join(F.sort_array(F.collect_list(F.when(F.col("there").isNull(), F.col("entity_id")))), ","), F.lit("")).alias("missing"))
+
+
+@query("""WITH s AS (SELECT account_id, count(*) AS k FROM bank_statements GROUP BY 1) SELECT e.entity_id, count(a.account_id) AS accounts, CAST(coalesce(sum(k), 0) AS BIGINT) AS statements, coalesce(string_agg(a.account_id, ',' ORDER BY a.account_id), '') AS account_ids FROM entities e LEFT JOIN accounts a USING (entity_id) LEFT JOIN s USING (account_id) GROUP BY 1""")
+def a31_entity_accounts(spark, folder):
+    """Each entity with its accounts and how many statements they have; an entity has few accounts."""
+    k = table(spark, folder, "bank_statements").groupBy("account_id").agg(F.count("*").alias("k"))
+    a = table(spark, folder, "accounts").select("account_id", "entity_id").join(k, "account_id", "left").groupBy("entity_id").agg(F.count("*").alias("accounts"), F.sum("k").alias("statements"), F.array_join(F.sort_array(F.collect_list("account_id")), ",").alias("account_ids"))
+    return table(spark, folder, "entities").select("entity_id").join(a, "entity_id", "left").select("entity_id", F.coalesce("accounts", F.lit(0)).alias("accounts"), F.coalesce("statements", F.lit(0)).alias("statements"), F.coalesce("account_ids", F.lit("")).alias("account_ids"))
+
+
+@query("""WITH t AS (SELECT entity_id, count(*) AS k, sum(CAST(amount AS DOUBLE)) AS s FROM transactions GROUP BY 1) SELECT ce.case_id, count(DISTINCT ce.entity_id) AS entities, count(DISTINCT ce.entity_id) FILTER (e.risk_score >= 70) AS risky, count(DISTINCT ce.entity_id) FILTER (e.is_verified) AS verified, round(avg(e.risk_score), 4) AS mean_risk FROM case_entities ce JOIN entities e USING (entity_id) GROUP BY 1""")
+def a02_case_risk(spark, folder):
+    """Distinct entities of a case, those of high risk and those verified, and the mean risk over its rows."""
+    j = table(spark, folder, "case_entities").select("case_id", "entity_id").join(table(spark, folder, "entities").select("entity_id", "risk_score", "is_verified"), "entity_id")
+    only = lambda t: F.countDistinct(F.when(t, F.col("entity_id")))
+    return j.groupBy("case_id").agg(F.countDistinct("entity_id").alias("entities"), only(F.col("risk_score") >= 70).alias("risky"), only(F.col("is_verified")).alias("verified"), F.round(F.avg("risk_score"), 4).alias("mean_risk"))
+
+
+@query("{L}, q AS (SELECT transaction_id, amount, credit > 0 AS is_credit, debit > 0 AS is_debit, CASE WHEN credit > 0 THEN 'credit' ELSE 'debit' END AS transaction_type FROM L) SELECT * FROM q", "pred_p05_flags")
+def _p05(spark, folder):
+    d, c = F.col("DEBIT"), F.col("CREDIT")
+    return event_ledger(spark, folder).select("transaction_id", "amount", (c > 0).alias("is_credit"), (d > 0).alias("is_debit"), F.when(c > 0, "credit").otherwise("debit").alias("transaction_type"))
+
+
+@query("""WITH g AS (SELECT statement_id, original_index, original_index - lag(original_index) OVER (PARTITION BY statement_id ORDER BY original_index, transaction_id) - 1 AS gap FROM transactions WHERE statement_id IS NOT NULL)
+ SELECT statement_id, count(*) AS n, min(original_index) AS first_index, max(original_index) AS last_index, count(CASE WHEN gap > 0 THEN 1 END) AS gaps, count(CASE WHEN gap < 0 THEN 1 END) AS repeats FROM g GROUP BY 1""")
+def w02_index_gaps(spark, folder):
+    """Each file's rows, first and last place, how often places are missing between neighbours and how often one repeats."""
+    w = W.partitionBy("statement_id").orderBy("original_index", "transaction_id")
+    g = table(spark, folder, "transactions").where("statement_id is not null").select("statement_id", "original_index", (F.col("original_index") - F.lag("original_index").over(w) - 1).alias("gap"))
+    return g.groupBy("statement_id").agg(F.count("*").alias("n"), F.min("original_index").alias("first_index"), F.max("original_index").alias("last_index"), F.count(F.when(F.col("gap") > 0, 1)).alias("gaps"), F.count(F.when(F.col("gap") < 0, 1)).alias("repeats"))
+
+
 @query("SELECT e.entity_id, count(t.transaction_id) AS n FROM entities e LEFT JOIN transactions t USING (entity_id) GROUP BY 1")
 def a29_a33_zero_filled_counts(spark, folder):
     n = table(spark, folder, "transactions").groupBy("entity_id").agg(F.count("transaction_id").alias("k"))

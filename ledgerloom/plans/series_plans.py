@@ -10,6 +10,7 @@ from ledgerloom.operators import counterparty as C
 from ledgerloom.operators import timeseries as T
 from ledgerloom.operators.search import CASH_WORDS, has_word
 from ledgerloom.sources.ledger import EVENT_SQL, event_ledger
+from ledgerloom.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,32 +54,47 @@ def a11_weekdays(spark, folder):
 def _periods_sql(grain: str) -> str:
     return f"""{{L}}, h AS (SELECT entity_id, date_trunc('{grain}', d) AS period, hour(d) AS h, count(*) AS k FROM L GROUP BY 1, 2, 3), hm AS (SELECT entity_id, period, h, row_number() OVER (PARTITION BY entity_id, period ORDER BY k DESC, h) AS r FROM h),
  g AS (SELECT entity_id, date_trunc('{grain}', d) AS period, round(sum(debit), 2) AS debit_sum, count(debit) AS debit_count, round(avg(debit), 4) AS debit_mean, round(coalesce(stddev_samp(debit), 0.0), 3) AS debit_std, round(sum(credit), 2) AS credit_sum, round(avg(credit), 4) AS credit_mean, round(coalesce(stddev_samp(credit), 0.0), 3) AS credit_std,
- round(sum(credit - debit), 2) AS net_flow_sum, 2 * count(*) AS intensity FROM L GROUP BY 1, 2) SELECT g.entity_id, CAST(CAST(g.period AS DATE) AS VARCHAR) AS period, debit_sum, debit_count, debit_mean, debit_std, credit_sum, credit_mean, credit_std, net_flow_sum, intensity, h AS hour_mode FROM g JOIN hm ON hm.entity_id = g.entity_id AND hm.period = g.period AND r = 1"""
+ round(sum(credit - debit), 2) AS net_flow_sum, round(avg(credit - debit), 4) AS net_flow_mean, round(avg(credit + debit), 4) AS activity_mean, round(sum(debit) / (sum(credit) + 1e-10), 4) AS ratio, round((coalesce(stddev_samp(debit), 0.0) + coalesce(stddev_samp(credit), 0.0)) / 2, 3) AS volatility, 2 * count(*) AS intensity FROM L GROUP BY 1, 2),
+ wm AS (SELECT entity_id, period, w, row_number() OVER (PARTITION BY entity_id, period ORDER BY k DESC, w) AS r FROM (SELECT entity_id, date_trunc('{grain}', d) AS period, isodow(d) AS w, count(*) AS k FROM L GROUP BY 1, 2, 3)) SELECT g.entity_id, epoch_us(g.period) AS period_micros, debit_sum, debit_count, debit_mean, debit_std, credit_sum, credit_mean, credit_std, net_flow_sum, net_flow_mean, activity_mean, CASE WHEN credit_sum > 0 THEN ratio END AS ratio, volatility, intensity, h AS hour_mode, w AS weekday_mode FROM g JOIN hm ON hm.entity_id = g.entity_id AND hm.period = g.period AND hm.r = 1 JOIN wm ON wm.entity_id = g.entity_id AND wm.period = g.period AND wm.r = 1"""
 
 
 def _periods(grain: str):
     def run(spark, folder):
         p = T.periods(event_ledger(spark, folder), grain)
-        p = T.rounded(T.rounded(p, "debit_sum", "credit_sum", "net_flow_sum", places=2), "debit_mean", "credit_mean")
-        p = T.rounded(p, "debit_std", "credit_std", places=3)
-        return p.select("entity_id", T.iso("period").alias("period"), "debit_sum", "debit_count", "debit_mean", "debit_std", "credit_sum", "credit_mean", "credit_std", "net_flow_sum", "intensity", "hour_mode")
+        p = T.rounded(T.rounded(p, "debit_sum", "credit_sum", "net_flow_sum", places=2), "debit_mean", "credit_mean", "net_flow_mean", "activity_mean", "ratio")
+        p = T.rounded(p, "debit_std", "credit_std", "volatility", places=3)
+        return p.select("entity_id", F.unix_micros("period").alias("period_micros"), "debit_sum", "debit_count", "debit_mean", "debit_std", "credit_sum", "credit_mean", "credit_std", "net_flow_sum", "net_flow_mean", "activity_mean", "ratio", "volatility", "intensity", "hour_mode", "weekday_mode")
 
     return run
 
 
-for _g in ("day", "week", "month"):
+for _g in ("hour", "day", "week", "month"):
     query(_periods_sql(_g), f"a12_periods_{_g}")(_periods(_g))
 
 
-@query("{P} SELECT entity_id, count(*) AS periods, arg_max(CAST(period AS VARCHAR), activity) AS peak, round(avg(activity), 4) AS mean_activity, round(max(debit), 2) AS most_debit, round(max(credit), 2) AS most_credit FROM P GROUP BY 1")
-def a13_a14_summary(spark, folder):
-    return _series(spark, folder).groupBy("entity_id").agg(F.count("*").alias("periods"), F.max_by(T.iso("period"), "activity").alias("peak"), F.round(F.avg("activity"), 4).alias("mean_activity"), F.round(F.max("debit"), 2).alias("most_debit"), F.round(F.max("credit"), 2).alias("most_credit"))
+@query("{P} SELECT entity_id, count(*) AS periods, arg_max(CAST(period AS VARCHAR), activity) AS peak, arg_max(CAST(period AS VARCHAR), debit) AS debit_peak, arg_max(CAST(period AS VARCHAR), credit) AS credit_peak, round(avg(activity), 4) AS mean_activity, round(max(debit), 2) AS most_debit, round(max(credit), 2) AS most_credit FROM P GROUP BY 1")
+def a13_summary(spark, folder):
+    return _series(spark, folder).groupBy("entity_id").agg(F.count("*").alias("periods"), F.max_by(T.iso("period"), "activity").alias("peak"), F.max_by(T.iso("period"), "debit").alias("debit_peak"), F.max_by(T.iso("period"), "credit").alias("credit_peak"), F.round(F.avg("activity"), 4).alias("mean_activity"), F.round(F.max("debit"), 2).alias("most_debit"), F.round(F.max("credit"), 2).alias("most_credit"))
 
 
-@query("""{P}, x AS (SELECT *, date_diff('day', min(period) OVER (PARTITION BY entity_id), period) AS x FROM P), g AS (SELECT entity_id, count(*) AS n, regr_slope(activity, x) AS b, regr_r2(activity, x) AS r FROM x GROUP BY 1)
- SELECT entity_id, n, round(coalesce(b, 0.0), 3) AS slope, round(CASE WHEN b IS NULL THEN 0.0 ELSE coalesce(r, 1.0) END, 4) AS r2, CASE WHEN b IS NULL THEN 'weak' WHEN r > 0.7 THEN 'strong' WHEN r > 0.3 THEN 'moderate' ELSE 'weak' END AS strength FROM g""")
+@query("""WITH P AS (SELECT entity_id, CAST(day AS DATE) AS period, sum(activity) AS activity FROM (SELECT entity_id, CAST(created_at AS DATE) AS day, CAST(amount AS DOUBLE) AS activity FROM transactions WHERE entity_id IS NOT NULL) GROUP BY 1, 2), n AS (SELECT entity_id FROM P GROUP BY 1 HAVING count(*) > 30),
+ g AS (SELECT entity_id, month(period) AS month, count(*) AS periods, avg(activity) AS mean, coalesce(stddev_samp(activity), 0.0) AS deviation FROM P WHERE entity_id IN (SELECT entity_id FROM n) GROUP BY 1, 2)
+ SELECT entity_id, month, periods, round(mean, 3) AS mean, round(deviation, 2) AS deviation, row_number() OVER (PARTITION BY entity_id ORDER BY mean DESC, month) = 1 AS is_peak FROM g""")
+def a14_months(spark, folder):
+    """Statistics by month of the year over the days on which the store's rows were recorded, of entities with more than 30 such days."""
+    t = table(spark, folder, "transactions").where("entity_id is not null")
+    s = t.groupBy("entity_id", F.to_date("created_at").alias("period")).agg(F.sum(F.col("amount").cast("double")).alias("activity"))
+    many = s.groupBy("entity_id").agg(F.count("*").alias("k")).where("k > 30").select("entity_id")
+    return T.rounded(T.rounded(T.month_of_year(s.join(many, "entity_id", "left_semi")), "mean", places=3), "deviation", places=2)
+
+
+@query("""{P}, X AS (SELECT entity_id, period, unnest(['debit', 'credit', 'net', 'activity']) AS metric, unnest([debit, credit, net, activity]) AS y FROM P), Q AS (SELECT *, date_diff('day', min(period) OVER (PARTITION BY entity_id), period) AS x FROM X),
+ g AS (SELECT entity_id, metric, count(*) AS n, CASE WHEN var_pop(x) > 0 THEN regr_slope(y, x) END AS b, CASE WHEN var_pop(x) > 0 THEN regr_intercept(y, x) END AS a, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(y, x) END AS c FROM Q GROUP BY 1, 2), t AS (SELECT *, CASE WHEN n > 2 AND b IS NOT NULL THEN c * sqrt(n - 2) / sqrt(nullif(greatest(0, 1 - c * c), 0)) END AS t FROM g)
+ SELECT entity_id, metric, n, round(coalesce(b, 0.0), 3) AS slope, round(CASE WHEN b IS NULL THEN 0.0 ELSE a END, 2) AS intercept, round(CASE WHEN b IS NULL THEN 0.0 ELSE coalesce(c * c, 1.0) END, 4) AS r2, round(t, 3) AS t, round(2 * (1 - abs(t) / (abs(t) + n - 2)), 4) AS pseudo_p, CASE WHEN b IS NULL THEN 'weak' WHEN c * c > 0.7 THEN 'strong' WHEN c * c > 0.3 THEN 'moderate' ELSE 'weak' END AS strength FROM t""")
 def x01_x02_trend(spark, folder):
-    return T.rounded(T.rounded(T.trend(_series(spark, folder), "activity"), "slope", places=3), "r2")
+    """The trends of debits, credits, net flow and activity of each entity."""
+    t = T.rounded(T.trends(_series(spark, folder)), "slope", "t", places=3)
+    return T.rounded(T.rounded(t, "intercept", places=2), "r2", "pseudo_p")
 
 
 @query("""{P}, m AS (SELECT entity_id, period, i, n, least(7, n // 3) AS w FROM P), v AS (SELECT a.entity_id, a.period, a.i, a.w, avg(b.activity) AS v FROM m a JOIN P b ON b.entity_id = a.entity_id AND b.i > a.i - a.w AND b.i <= a.i GROUP BY ALL)
@@ -104,15 +120,28 @@ def w06_acceleration(spark, folder):
     return T.rounded(T.rounded(T.acceleration(_series(spark, folder)), "mean_change", places=3), "least_change", "most_change", places=2)
 
 
-@query("""{P}, c AS (SELECT entity_id, n, activity, lag(activity, 7) OVER (PARTITION BY entity_id ORDER BY period) AS was FROM P WHERE n >= 14) SELECT entity_id, round(corr(activity, was), 4) AS r, coalesce(corr(activity, was) > 0.6, false) AS strong FROM c GROUP BY 1""")
+@query("{P}, " + ", ".join(f"c{k} AS (SELECT entity_id, {k} AS lag, activity, lag(activity, {k}) OVER (PARTITION BY entity_id ORDER BY period) AS was FROM P WHERE n >= 2 * {k})" for k in (7, 14, 30)) + ", c AS (SELECT * FROM c7 UNION ALL SELECT * FROM c14 UNION ALL SELECT * FROM c30) SELECT entity_id, lag, round(corr(activity, was), 4) AS r, coalesce(corr(activity, was) > 0.6, false) AS strong FROM c GROUP BY 1, 2")
 def w11_x09_autocorrelation(spark, folder):
-    return T.rounded(T.autocorrelation(_series(spark, folder)), "r")
+    """Autocorrelation at lags of 7, 14 and 30 periods, where there are twice as many."""
+    s, out = _series(spark, folder), None
+    for k in (7, 14, 30):
+        one = T.autocorrelation(s, k).withColumn("lag", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return T.rounded(out, "r")
+
 
+def _anomalies_sql(m: str) -> str:
+    return f"""SELECT P.entity_id, '{m}' AS metric, CAST(period AS VARCHAR) AS period, round({m}, 2) AS value, CASE WHEN {m} > q3 + 2.5 * (q3 - q1) THEN 'high' ELSE 'medium' END AS severity FROM P JOIN (SELECT entity_id, v[CAST(floor(0.25 * (k - 1) + 0.5) AS INT) + 1] AS q1, v[CAST(floor(0.75 * (k - 1) + 0.5) AS INT) + 1] AS q3 FROM (SELECT entity_id, list({m} ORDER BY {m}) AS v, count(*) AS k FROM P GROUP BY 1)) b USING (entity_id) WHERE {m} < q1 - 1.5 * (q3 - q1) OR {m} > q3 + 1.5 * (q3 - q1)"""
 
-@query("""{P}, q AS (SELECT entity_id, list(activity ORDER BY activity) AS v, count(*) AS k FROM P GROUP BY 1), b AS (SELECT entity_id, v[CAST(floor(0.25 * (k - 1) + 0.5) AS INT) + 1] AS q1, v[CAST(floor(0.75 * (k - 1) + 0.5) AS INT) + 1] AS q3 FROM q)
- SELECT entity_id, CAST(period AS VARCHAR) AS period, round(activity, 2) AS value, CASE WHEN activity > q3 + 2.5 * (q3 - q1) THEN 'high' ELSE 'medium' END AS severity FROM P JOIN b USING (entity_id) WHERE activity < q1 - 1.5 * (q3 - q1) OR activity > q3 + 1.5 * (q3 - q1)""")
+
+@query("{P} " + " UNION ALL ".join(_anomalies_sql(m) for m in ("debit", "credit", "activity")))
 def x03_iqr_anomalies(spark, folder):
-    return T.iqr_anomalies(_series(spark, folder), "activity").select("entity_id", T.iso("period").alias("period"), F.round("value", 2).alias("value"), "severity")
+    """Anomalies of debits, credits and activity."""
+    s, out = _series(spark, folder), None
+    for m in ("debit", "credit", "activity"):
+        one = T.iqr_anomalies(s, m).select("entity_id", F.lit(m).alias("metric"), T.iso("period").alias("period"), F.round("value", 2).alias("value"), "severity")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("""{P}, g AS (SELECT entity_id, avg(activity) AS m, stddev_samp(activity) AS s FROM P GROUP BY 1) SELECT entity_id, CAST(period AS VARCHAR) AS period, round(activity, 2) AS activity, CASE WHEN activity > m + 3 * s THEN 'high' ELSE 'medium' END AS severity FROM P JOIN g USING (entity_id) WHERE activity > m + 2 * s""")
@@ -131,24 +160,26 @@ def x06_correlations(spark, folder):
     return T.rounded(T.correlations(_series(spark, folder)), "debit_credit", "debit_activity", "credit_activity", "net_activity")
 
 
-@query("{P} SELECT entity_id, round(coalesce(stddev_samp(activity), 0.0), 3) AS deviation, round(coalesce(stddev_samp(activity), 0.0) / avg(activity), 4) AS variation, round(max(activity) - min(activity), 2) AS span FROM P GROUP BY 1")
+@query("{P} SELECT entity_id, round(coalesce(stddev_samp(activity), 0.0), 3) AS deviation, round(coalesce(stddev_samp(activity), 0.0) / avg(activity), 4) AS variation, round(max(activity) - min(activity), 2) AS span, round(quantile_cont(activity, 0.75) - quantile_cont(activity, 0.25), 3) AS iqr FROM P GROUP BY 1")
 def x07_volatility(spark, folder):
     sd = F.coalesce(F.stddev_samp("activity"), F.lit(0.0))
-    return _series(spark, folder).groupBy("entity_id").agg(F.round(sd, 3).alias("deviation"), F.round(F.try_divide(sd, F.avg("activity")), 4).alias("variation"), F.round(F.max("activity") - F.min("activity"), 2).alias("span"))
+    return _series(spark, folder).groupBy("entity_id").agg(F.round(sd, 3).alias("deviation"), F.round(F.try_divide(sd, F.avg("activity")), 4).alias("variation"), F.round(F.max("activity") - F.min("activity"), 2).alias("span"), F.round(linear("activity", 0.75) - linear("activity", 0.25), 3).alias("iqr"))
 
 
-@query()
+@query("""{P}, m AS (SELECT entity_id, period, i, n, activity, least(5, n // 3) AS w FROM P WHERE n > 10), v AS (SELECT a.entity_id, a.period, a.i, a.n, a.w, a.activity, avg(b.activity) AS v FROM m a JOIN P b ON b.entity_id = a.entity_id AND b.i > a.i - a.w AND b.i <= a.i GROUP BY ALL),
+ x AS (SELECT *, CASE WHEN i >= w THEN v END AS mv FROM v), y AS (SELECT *, activity - coalesce(mv, avg(mv) OVER (PARTITION BY entity_id)) AS de FROM x), z AS (SELECT *, CASE WHEN sign(de) <> sign(lag(de) OVER (PARTITION BY entity_id ORDER BY period)) THEN 1 ELSE 0 END AS turn FROM y)
+ SELECT entity_id, round(sum(turn) * 1.0 / max(n), 4) AS frequency, round(stddev_pop(de) / (avg(abs(activity)) + 1e-10), 4) AS strength FROM z GROUP BY 1""")
 def w12_zero_crossings(spark, folder):
-    return T.zero_crossings(_series(spark, folder))
+    return T.rounded(T.zero_crossings(_series(spark, folder)), "frequency", "strength")
 
 
-@query("""{L}, x AS (SELECT *, epoch(d) / 3600.0 - lag(epoch(d) / 3600.0) OVER (PARTITION BY entity_id ORDER BY d, oi) AS gap FROM L) SELECT entity_id, round(avg(gap), 3) AS mean_hours, round(quantile_cont(gap, 0.5), 3) AS median_hours, round(min(gap), 3) AS least_hours, round(max(gap), 3) AS most_hours FROM x GROUP BY 1""")
+@query("""{L}, x AS (SELECT *, epoch(d) / 3600.0 - lag(epoch(d) / 3600.0) OVER (PARTITION BY entity_id ORDER BY d, oi) AS gap FROM L) SELECT entity_id, round(avg(gap), 3) AS mean_hours, round(quantile_cont(gap, 0.5), 3) AS median_hours, round(stddev_samp(gap), 3) AS std_hours, round(min(gap), 3) AS least_hours, round(max(gap), 3) AS most_hours FROM x GROUP BY 1""")
 def w07_gaps(spark, folder):
     w = W.partitionBy("entity_id").orderBy("DATE", "original_index")
     led = event_ledger(spark, folder)
     gap = (F.unix_micros("DATE") - F.unix_micros(F.lag("DATE").over(w))) / 3.6e9
     g = led.select("entity_id", gap.alias("gap"))
-    return g.groupBy("entity_id").agg(F.round(F.avg("gap"), 3).alias("mean_hours"), F.round(linear("gap", 0.5), 3).alias("median_hours"), F.round(F.min("gap"), 3).alias("least_hours"), F.round(F.max("gap"), 3).alias("most_hours"))
+    return g.groupBy("entity_id").agg(F.round(F.avg("gap"), 3).alias("mean_hours"), F.round(linear("gap", 0.5), 3).alias("median_hours"), F.round(F.stddev_samp("gap"), 3).alias("std_hours"), F.round(F.min("gap"), 3).alias("least_hours"), F.round(F.max("gap"), 3).alias("most_hours"))
 
 
 CP = """{L}, c AS (SELECT *, debit + credit AS act, CAST(floor(epoch(d) - epoch(min(d) OVER ())) AS BIGINT) // 86400 AS x, row_number() OVER (PARTITION BY entity_id, cp ORDER BY d, oi) AS i, count(*) OVER (PARTITION BY entity_id, cp) AS n FROM L WHERE trim(cp) <> '')"""
@@ -182,3 +213,22 @@ def w08_halves(spark, folder):
 def a19_counterparty_months(spark, folder):
     led = event_ledger(spark, folder).where(F.trim("counterparty") != "")
     return led.groupBy("entity_id", "counterparty", F.date_format("DATE", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("DEBIT") + F.col("CREDIT")), 2).alias("total"))
+
+
+@query(CP + ", g AS (SELECT entity_id, cp, isodow(d) AS w, count(*) AS k FROM c GROUP BY 1, 2, 3), y AS (SELECT entity_id, cp, CAST(d AS DATE) AS day, count(*) AS k FROM c GROUP BY 1, 2, 3), z AS (SELECT entity_id, cp, max(k) AS most_a_day, count(CASE WHEN k > 1 THEN 1 END) AS busy_days FROM y GROUP BY 1, 2) SELECT entity_id, cp AS counterparty, any_value(most_a_day) AS most_a_day, any_value(busy_days) AS busy_days, round(max(k) * 1.0 / sum(k), 4) AS weekday_share FROM g JOIN z USING (entity_id, cp) GROUP BY 1, 2")
+def a19_counterparty_days(spark, folder):
+    """The largest share of one weekday, most rows of one day, and days with more than one, by counterparty."""
+    led = event_ledger(spark, folder).where(F.trim("counterparty") != "")
+    key = ["entity_id", "counterparty"]
+    week = led.groupBy(*key, F.dayofweek("DATE").alias("w")).agg(F.count("*").alias("k")).groupBy(*key).agg(F.round(F.max("k") / F.sum("k"), 4).alias("weekday_share"))
+    day = led.groupBy(*key, F.to_date("DATE").alias("d")).agg(F.count("*").alias("k")).groupBy(*key).agg(F.max("k").alias("most_a_day"), F.count(F.when(F.col("k") > 1, 1)).alias("busy_days"))
+    return day.join(week, key)
+
+
+@query(CP + ", g AS (SELECT entity_id, cp, count(*) AS n, sum(act) AS v, avg(act) AS m, stddev_samp(act) AS s, greatest(1, date_diff('day', CAST(min(d) AS DATE), CAST(max(d) AS DATE)) + 1) AS days FROM c WHERE n >= 3 GROUP BY 1, 2) SELECT entity_id, cp AS counterparty, round(n * 1.0 / days, 4) AS rows_a_day, round(v / days, 3) AS amount_a_day, days FROM g")
+def x12_counterparty_rates(spark, folder):
+    """Rows and amount a day of each counterparty with three rows or more, over its calendar days."""
+    led = event_ledger(spark, folder).where(F.trim("counterparty") != "")
+    days = F.greatest(F.lit(1), F.datediff(F.max("DATE"), F.min("DATE")) + 1)
+    g = led.groupBy("entity_id", "counterparty").agg(F.count("*").alias("n"), F.sum(F.col("DEBIT") + F.col("CREDIT")).alias("v"), days.alias("days")).where("n >= 3")
+    return g.select("entity_id", "counterparty", F.round(F.col("n") / F.col("days"), 4).alias("rows_a_day"), F.round(F.col("v") / F.col("days"), 3).alias("amount_a_day"), "days")

@@ -45,9 +45,20 @@ def f08_normalisers(spark, folder):
 @query(f"""WITH n AS (SELECT DISTINCT counterparty_merged AS name FROM transactions WHERE counterparty_merged IS NOT NULL), x AS (SELECT n.name, min(entity_id) AS entity_id, 'exact' AS how FROM n JOIN entities e ON e.entity_name = n.name GROUP BY 1),
  r AS (SELECT name, {X.plain_name_sql('name')} AS p FROM n WHERE name NOT IN (SELECT name FROM x)), y AS (SELECT r.name, min(entity_id) AS entity_id, 'plain' AS how FROM r JOIN entities e ON {X.plain_name_sql('e.entity_name')} = r.p WHERE r.p <> '' GROUP BY 1) SELECT * FROM x UNION ALL SELECT * FROM y""")
 def j16_j17_resolved(spark, folder):
+    """The steps that are equalities: by name, then by plain name."""
+    return _resolved(spark, folder).where("how <> 'alike'")
+
+
+def _resolved(spark, folder):
     return resolve.resolved(table(spark, folder, "transactions").select(F.col("counterparty_merged").alias("name")), table(spark, folder, "entities"))
 
 
+@query()
+def j16_alike(spark, folder):
+    """The names that only likeness resolves; no SQL has this ratio."""
+    return _resolved(spark, folder).where("how = 'alike'").select("name", "entity_id")
+
+
 @query(r"""WITH c AS (SELECT counterparty_merged AS name, count(*) AS n FROM transactions WHERE counterparty_merged IS NOT NULL GROUP BY 1), g AS (SELECT *, regexp_replace(split_part(regexp_replace(lower(trim(name)), '\s+', ' ', 'g'), ' ', 1), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') AS key FROM c),
  t AS (SELECT key, min(name) AS target FROM g WHERE (key, n) IN (SELECT (key, max(n)) FROM g GROUP BY key HAVING count(*) > 1) AND key <> '' GROUP BY key), j AS (SELECT name, target, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(target), '[^a-z0-9]+', ' ', 'g')) AS b FROM g JOIN t USING (key) WHERE name <> target)
  SELECT name, target FROM j WHERE a = b OR 1 - levenshtein(a, b) * 1.0 / greatest(length(a), length(b)) >= 0.95""")
