@@ -23,6 +23,17 @@ def edges(ledger: DataFrame, entity: str = "entity_id") -> DataFrame:
     return folded(rows)
 
 
+def resolved_rows(ledger: DataFrame, resolved: DataFrame) -> DataFrame:
+    """src, dst, amount, DATE, transaction_id: as ``edges`` names them, but a counterparty that is resolved (name, entity_id) is that
+    entity's node, so that entities are linked with each other; a row from an entity to itself is left out."""
+    own = F.concat(F.lit("entity_"), F.col("entity_id").cast("string"))
+    rows = ledger.where("entity_id is not null").where(F.trim("counterparty") != "")
+    met = rows.join(resolved.select(F.col("name").alias("counterparty"), F.col("entity_id").alias("_is")), "counterparty", "left")
+    other = F.when(F.col("_is").isNotNull(), F.concat(F.lit("entity_"), F.col("_is"))).otherwise(F.concat(F.lit("external_"), F.trim("counterparty")))
+    out = F.col("direction") == "DR"
+    return met.select(F.when(out, own).otherwise(other).alias("src"), F.when(out, other).otherwise(own).alias("dst"), "amount", "DATE", "transaction_id").where("src <> dst")
+
+
 def folded(rows: DataFrame) -> DataFrame:
     """Edges of rows (src, dst, amount, DATE, transaction_id); the last amount is that of the latest row, of equal times of the largest id."""
     return rows.groupBy("src", "dst").agg(F.sum("amount").alias("total"), F.count("*").alias("n"), F.min("DATE").alias("first_at"), F.max("DATE").alias("last_at"), F.max_by("amount", F.struct("DATE", "transaction_id")).alias("last_amount"))
@@ -66,19 +77,28 @@ def cycles(e: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
     return out
 
 
-def cycle_scores(found: DataFrame, e: DataFrame, least_amount: float = 0.0, most_days: int = 365, net_limit: float = 0.1) -> DataFrame:
-    """path, length, total, days, net and confidence of each cycle, from the latest row of each edge.
+def cycle_scores(found: DataFrame, e: DataFrame, hubs: DataFrame | None = None, least_amount: float = 0.0, most_days: int = 365, net_limit: float = 0.1) -> DataFrame:
+    """path, length, total, days, net, confidence, aml_confidence and kind of the cycles that pass, from the latest row of each edge.
 
     Net flow is that of the first (least) node: its last edge in minus its first edge out, so it doesn't depend on where a
     cycle is entered. Confidence falls with net flow, with a duration above 30 days and a length above three, and rises
-    with the evenness of amounts.
+    with the evenness of amounts. The AML confidence weighs how round the trip is, its pace, structuring of its amounts, its
+    length and the evenness of amounts by 0.30, 0.25, 0.20, 0.15 and 0.10. Kind: simple for two nodes; up to four hub-mediated if one of the
+    ``hubs`` (node) is on the path, else complex, and complex beyond. Passes: total of ``least_amount`` or more, ``most_days`` or fewer,
+    |net| / total within ``net_limit``.
     """
     c = found.withColumn("id", F.array_join("path", ">"))
     legs = c.select("id", "length", F.posexplode("path").alias("k", "src"), "path").withColumn("dst", F.element_at("path", (F.pmod(F.col("k") + 1, F.col("length")) + 1).cast("int"))).drop("path")
     legs = legs.join(e.select("src", "dst", "last_amount", "last_at"), ["src", "dst"])
+    mark = F.lit(0) if hubs is None else F.coalesce("_hub", F.lit(0))
+    if hubs is not None:
+        legs = legs.join(hubs.select(F.col("node").alias("src"), F.lit(1).alias("_hub")).distinct(), "src", "left")
+    x = F.col("last_amount")
+    near = [F.sum(((x >= 0.8 * t) & (x < t)).cast("int")).alias(f"near{t}") for t in (10_000, 5_000, 3_000)]
     g = legs.groupBy("id", "length").agg(
-        F.sum("last_amount").alias("total"), F.min("last_at").alias("t0"), F.max("last_at").alias("t1"), F.coalesce(F.var_samp("last_amount"), F.lit(0.0)).alias("v"), F.avg("last_amount").alias("m"),
-        (F.max_by("last_amount", "k") - F.min_by("last_amount", "k")).alias("net"),
+        F.sum(x).alias("total"), F.min("last_at").alias("t0"), F.max("last_at").alias("t1"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("v"), F.avg(x).alias("m"),
+        (F.max_by("last_amount", "k") - F.min_by("last_amount", "k")).alias("net"), F.max(mark).alias("hub"), *near,
+        F.sum((F.pmod(x, F.lit(100.0)) == 0).cast("int")).alias("round"), F.countDistinct("last_amount").alias("different"), F.collect_list("last_amount").alias("amounts"),
     )
     days = F.floor((F.unix_micros("t1") - F.unix_micros("t0")) / 86_400_000_000)
     share = F.abs(F.col("net")) / F.col("total")
@@ -86,9 +106,17 @@ def cycle_scores(found: DataFrame, e: DataFrame, least_amount: float = 0.0, most
     many = F.when(F.col("length") > 3, F.least(F.lit(0.2), (F.col("length") - 3) * 0.05)).otherwise(0.0)
     even = 1 + 0.2 * F.greatest(F.lit(0.0), 1 - F.col("v") / (F.col("m") * F.col("m")))
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - share) * (1 - long) * (1 - many) * even))
-    kind = F.when(F.col("length") <= 4, "simple").otherwise("complex")
-    out = g.select("id", "length", "total", days.alias("days"), "net", confidence.alias("confidence"), kind.alias("kind"), share.alias("net_share"))
-    return out.where((F.col("total") >= least_amount) & (F.col("days") <= most_days)).withColumn("balanced", F.col("net_share") <= net_limit).drop("net_share")
+    # an edge has one latest amount and a path few edges: repeats are counted within the row
+    repeats = F.size(F.filter(F.array_distinct("amounts"), lambda a: F.size(F.filter("amounts", lambda b: b == a)) > 1))
+    n = F.col("length")
+    structuring = F.least(F.lit(1.0), sum((F.col(f"near{t}") / n * 0.5 for t in (10_000, 5_000, 3_000)), F.lit(0.0)) + F.when(F.col("round") > n * 0.7, 0.3).otherwise(0.0) + F.least(F.lit(0.4), repeats / n))
+    pace = F.when(days <= 1, 1.0).when(days <= 7, 0.8).when(days <= 30, 0.5).otherwise(F.greatest(F.lit(0.0), 1 - days / 365))
+    tangle = F.when(n == 2, 0.3).when(n <= 4, 1.0).when(n <= 6, 0.7).otherwise(0.4)
+    steady = F.greatest(F.lit(0.0), 1 - F.sqrt("v") / F.col("m"))
+    aml = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - 2 * share) * 0.30 + pace * 0.25 + structuring * 0.20 + tangle * 0.15 + steady * 0.10)
+    kind = F.when(n == 2, "simple").when((n <= 4) & (F.col("hub") == 1), "hub-mediated").otherwise("complex")
+    out = g.select(F.col("id").alias("path"), "length", "total", days.alias("days"), "net", confidence.alias("confidence"), aml.alias("aml_confidence"), kind.alias("kind"), share.alias("net_share"))
+    return out.where((F.col("total") >= least_amount) & (F.col("days") <= most_days) & (F.col("net_share") <= net_limit)).drop("net_share")
 
 
 def page_rank(e: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import flows, graph
+from ledgerloom.functions.text import plain_name_sql
+from ledgerloom.operators import flows, graph, resolve
 from ledgerloom.sources.ledger import EVENT_SQL, event_ledger
 from ledgerloom.sources.tables import table
 
@@ -66,20 +67,76 @@ def g15_a22_overview(spark, folder):
     return graph.overview(graph.edges(event_ledger(spark, folder))).select("nodes", "edges", F.round("density", 6).alias("density"), F.round("reciprocity", 6).alias("reciprocity"), F.round("volume", 2).alias("volume"))
 
 
-@query("""{N}, P(s0, path, here, k) AS (SELECT src, [src, dst], dst, 2 FROM F WHERE dst > src UNION ALL SELECT s0, list_append(path, dst), dst, k + 1 FROM P JOIN F ON F.src = P.here WHERE k < 4 AND dst > s0 AND NOT list_contains(path, dst))
- SELECT array_to_string(path, '>') AS path, k AS length FROM P JOIN F ON F.src = P.here AND F.dst = P.s0 WHERE k >= 3""")
-def g02_cycles(spark, folder):
+LEAST_EDGE = 90_000  # what an edge of the cycle search carries at least: the filter that the search takes as a parameter
+_PLAIN = plain_name_sql
+RESOLVED_SQL = f"""NM AS (SELECT DISTINCT counterparty_merged AS name FROM transactions WHERE counterparty_merged IS NOT NULL), XA AS (SELECT NM.name, min(entity_id) AS is_ FROM NM JOIN entities e ON e.entity_name = NM.name GROUP BY 1),
+ XR AS (SELECT name, {_PLAIN('name')} AS p FROM NM WHERE name NOT IN (SELECT name FROM XA)), XN AS (SELECT XR.name, min(entity_id) AS is_ FROM XR JOIN entities e ON {_PLAIN('e.entity_name')} = XR.p WHERE XR.p <> '' GROUP BY 1), RS AS (SELECT * FROM XA UNION ALL SELECT * FROM XN),
+ TR AS (SELECT 'entity_' || entity_id AS own, CASE WHEN is_ IS NOT NULL THEN 'entity_' || is_ ELSE 'external_' || trim(counterparty_merged) END AS other, direction, CAST(amount AS DOUBLE) AS amount, created_at AS d, transaction_id FROM transactions t LEFT JOIN RS ON RS.name = t.counterparty_merged WHERE entity_id IS NOT NULL AND trim(coalesce(counterparty_merged, '')) <> ''),
+ RR AS (SELECT CASE WHEN direction = 'DR' THEN own ELSE other END AS src, CASE WHEN direction = 'DR' THEN other ELSE own END AS dst, amount, d, transaction_id FROM TR WHERE own <> other),
+ RE AS (SELECT src, dst, sum(amount) AS total, count(*) AS n, arg_max(amount, (d, transaction_id)) AS last_amount, max(d) AS last_at FROM RR GROUP BY 1, 2)"""
+
+
+def resolved_rows(spark, folder, alike: bool = False) -> DataFrame:
+    """The store's rows as movements between entities and outsiders; counterparties are resolved by equal and plain names, by likeness if asked for."""
+    t = table(spark, folder, "transactions")
+    r = resolve.resolved(t.select(F.col("counterparty_merged").alias("name")), table(spark, folder, "entities"))
+    led = t.select("transaction_id", "entity_id", F.coalesce("counterparty_merged", F.lit("")).alias("counterparty"), "direction", F.col("amount").cast("double").alias("amount"), F.col("created_at").alias("DATE"))
+    return graph.resolved_rows(led, r if alike else r.where("how <> 'alike'"))
+
+
+def large_edges(spark, folder) -> DataFrame:
+    """The edges of LEAST_EDGE or more of the resolved network."""
     from ledgerloom.session import stored
 
-    return graph.cycles(stored(nation_edges(spark, folder), "edges"), 3, 4).select(F.array_join("path", ">").alias("path"), "length")
+    return stored(graph.folded(resolved_rows(spark, folder)).where(F.col("total") >= LEAST_EDGE), "edges")
+
+
+@query(f"WITH {RESOLVED_SQL} SELECT src, dst, round(total, 2) AS total, n FROM RE")
+def g01_resolved_edges(spark, folder):
+    """The network of entities and outsiders, counterparties resolved by equal and plain names."""
+    return graph.folded(resolved_rows(spark, folder)).select("src", "dst", F.round("total", 2).alias("total"), "n")
 
 
 @query()
+def g01_alike_edges(spark, folder):
+    """The same network, names resolved by likeness too."""
+    return graph.folded(resolved_rows(spark, folder, alike=True)).select("src", "dst", F.round("total", 2).alias("total"), "n")
+
+
+CYCLES_SQL = f"""WITH RECURSIVE {RESOLVED_SQL}, F AS (SELECT * FROM RE WHERE total >= {LEAST_EDGE}), P(s0, path, here, k) AS (SELECT src, [src, dst], dst, 2 FROM F WHERE dst > src UNION ALL SELECT s0, list_append(path, dst), dst, k + 1 FROM P JOIN F ON F.src = P.here WHERE k < 10 AND dst > s0 AND NOT list_contains(path, dst)),
+ CY AS (SELECT path, k AS length FROM P JOIN F ON F.src = P.here AND F.dst = P.s0 WHERE k >= 3)"""
+
+
+@query(CYCLES_SQL + " SELECT array_to_string(path, '>') AS path, length FROM CY")
+def g02_cycles(spark, folder):
+    """The cycles of three to ten nodes over the large edges of the resolved network."""
+    return graph.cycles(large_edges(spark, folder), 3, 10).select(F.array_join("path", ">").alias("path"), "length")
+
+
+@query(CYCLES_SQL + f""", LG AS (SELECT array_to_string(path, '>') AS id, length, i, path[i] AS src, path[CASE WHEN i = length THEN 1 ELSE i + 1 END] AS dst FROM (SELECT path, length, unnest(generate_series(1, length)) AS i FROM CY)),
+ G AS (SELECT id, any_value(length) AS length, sum(last_amount) AS total, (epoch_us(max(last_at)) - epoch_us(min(last_at))) // 86400000000 AS days, arg_max(last_amount, i) - arg_min(last_amount, i) AS net, coalesce(var_samp(last_amount), 0.0) AS v, avg(last_amount) AS m FROM LG JOIN F USING (src, dst) GROUP BY 1)
+ SELECT id AS path, length, round(total, 2) AS total, days, round(net, 2) AS net, round(greatest(0.0, least(1.0, (1 - abs(net) / total) * (1 - CASE WHEN days > 30 THEN least(0.5, days / 365.0) ELSE 0 END) * (1 - CASE WHEN length > 3 THEN least(0.2, (length - 3) * 0.05) ELSE 0 END) * (1 + 0.2 * greatest(0.0, 1 - v / (m * m))))), 4) AS confidence FROM G WHERE days <= 365 AND abs(net) / total <= 0.5""")
 def g03_g09_cycle_scores(spark, folder):
-    from ledgerloom.session import stored
+    """Totals, days, net flow and confidence of these cycles, those within a year and a net flow of half their total."""
+    e = large_edges(spark, folder)
+    c = graph.cycle_scores(graph.cycles(e, 3, 10), e, net_limit=0.5)
+    return c.select("path", "length", F.round("total", 2).alias("total"), "days", F.round("net", 2).alias("net"), F.round("confidence", 4).alias("confidence"))
 
-    e = stored(nation_edges(spark, folder), "edges")
-    return graph.cycle_scores(graph.cycles(e, 3, 4), e)
+
+@query()
+def g06_g08_cycle_kinds(spark, folder):
+    """AML confidence and kind of these cycles; hubs are nodes of which a tenth of all nodes or more are neighbours, or with a rank of 0.1 or more."""
+    e = large_edges(spark, folder)
+    n = graph.nodes(e)
+    hubs = n.where("centrality >= 0.1").select("node").union(graph.page_rank(e).where("rank >= 0.1").select("node"))
+    c = graph.cycle_scores(graph.cycles(e, 3, 10), e, hubs, net_limit=0.5)
+    return c.select("path", "length", F.round("aml_confidence", 4).alias("aml_confidence"), "kind")
+
+
+@query(CYCLES_SQL + " SELECT length, count(*) AS cycles FROM CY GROUP BY 1")
+def a23_cycle_lengths(spark, folder):
+    """How many cycles there are of each true length."""
+    return graph.cycles(large_edges(spark, folder), 3, 10).groupBy("length").agg(F.count("*").alias("cycles"))
 
 
 @query("""{E}, g AS (SELECT src, avg(CASE WHEN amount >= 8000 AND amount < 10000 THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN amount >= 4000 AND amount < 5000 THEN 1.0 ELSE 0.0 END) AS b, avg(CASE WHEN amount >= 2400 AND amount < 3000 THEN 1.0 ELSE 0.0 END) AS c, avg(CASE WHEN amount % 100 = 0 THEN 1.0 ELSE 0.0 END) AS r, count(*) AS n FROM R GROUP BY 1),

@@ -39,7 +39,8 @@ def g11_g12_centralities(spark, folder):
 @query()
 def g14_hubs(spark, folder):
     e = stored(nation_edges(spark, folder), "edges")
-    return Z.hubs(Z.centralities(e).join(graph.page_rank(e), "node"))
+    degree = graph.nodes(e).select("node", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
+    return Z.hubs(Z.centralities(e).join(graph.page_rank(e), "node").join(degree, "node"))
 
 
 @query()

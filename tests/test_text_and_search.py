@@ -29,7 +29,7 @@ def test_amounts_directions_tags(spark):
     assert one(spark, X.direction, "Dr", "withdrawal", "CR", "deposit", "by cr", "other", None) == ["DR", "DR", "CR", "CR", "CR", None, None]
     assert one(spark, X.without_tags, "<b>a&amp;b</b>  c", None) == ["a&b c", None]
     assert one(spark, X.table_rows, "<table><tr><td>1</td><th>a b</th></tr><tr><td></td></tr></table>") == [[["1", "a b"], [""]]]
-    assert one(spark, S.payment_type, "upi/1", "NEFT UPI", "pos x", "", None) == ["UPI", "NEFT", "CARD", "OTHER", "OTHER"]
+    assert one(spark, S.payment_type, "upi/1", "NEFT UPI", "pos x", "instant trf", "", None) == ["UPI", "NEFT", "OTHER", "IMPS", "OTHER", "OTHER"]
 
 
 def test_patterns(spark):
