@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.session import stored
+from ledgerloom.session import released, stored
 
 
 def edges(ledger: DataFrame, entity: str = "entity_id") -> DataFrame:
@@ -137,19 +137,20 @@ def page_rank(e: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFram
     return rank
 
 
-def components(e: DataFrame, rounds: int = 30) -> DataFrame:
-    """node, component: the least node of its weakly connected component, by the least label of neighbours and the label's own."""
+def components(e: DataFrame) -> DataFrame:
+    """node, component: the least node of its weakly connected component, by the least label of neighbours and the label's own, until none changes."""
     both = stored(e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select("dst", "src")).distinct(), "both")
     label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
+    after = label
+    while True:
         least = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("c"))
         step = label.join(least, label.node == least.a).select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("cc"))
-        after = stored(step.join(jump, "component", "left").select("node", "old", F.coalesce("cc", "component").alias("component")), "component")
+        before, after = after, stored(step.join(jump, "component", "left").select("node", "old", F.coalesce("cc", "component").alias("component")), "component")
+        released(before)
         label = after.select("node", "component")
         if after.where("old <> component").isEmpty():
-            break
-    return label
+            return label
 
 
 def smurfing(rows: DataFrame, least_targets: int = 3, amount: float = 10_000, total: float = 50_000) -> DataFrame:
