@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import search as S
+from ledgerloom.plans.record_sql import DATED
 from ledgerloom.sources.ledger import EVENT_SQL, STORE_SQL, event_ledger, store_ledger
 from ledgerloom.sources.tables import table
 
@@ -20,7 +21,7 @@ def query(sql: str | None = None, name: str | None = None):
     def take(f):
         QUERIES[name or f.__name__] = f
         if sql:
-            SQL[name or f.__name__] = sql.replace("{L}", "WITH " + EVENT_SQL).replace("{S}", "WITH " + STORE_SQL)
+            SQL[name or f.__name__] = sql.replace("{L}", "WITH " + EVENT_SQL).replace("{S}", f"WITH {DATED}, {STORE_SQL}")
         return f
 
     return take

@@ -70,7 +70,7 @@ def store_ledger(spark: SparkSession, folder: str, dated: bool = True) -> DataFr
     return standardised(t.join(e, "entity_id").join(a, "account_id"))
 
 
-#: The same ledgers in SQL, for the oracle.
+#: The same ledgers in SQL, for the oracle; T in the second are the transactions with the day of their date.
 EVENT_SQL = """L AS (SELECT event_id AS transaction_id, user_id AS entity_id, ts AS d, event_id AS oi,
  CASE event_type WHEN 'purchase' THEN 'UPI/PAY' WHEN 'view' THEN 'ATM WITHDRAWAL' WHEN 'error' THEN 'CHQ RETURN' WHEN 'signup' THEN 'NEFT CR' ELSE 'CASH DEPOSIT' END AS descr,
  round(value * 1000, 2) AS amount, CASE WHEN event_type IN ('signup','click') THEN 'CR' ELSE 'DR' END AS direction,
@@ -78,8 +78,8 @@ EVENT_SQL = """L AS (SELECT event_id AS transaction_id, user_id AS entity_id, ts
  CASE WHEN event_type IN ('signup','click') THEN 0.0 ELSE round(value * 1000, 2) END AS debit,
  CASE WHEN event_type IN ('signup','click') THEN round(value * 1000, 2) ELSE 0.0 END AS credit FROM events)"""
 STORE_SQL = """S AS (SELECT t.transaction_id, t.entity_id, t.account_id, t.statement_id,
- CASE WHEN regexp_matches(trim(t.tx_date), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN try_cast(trim(t.tx_date) AS DATE) END AS d, coalesce(t.description, '') AS descr,
+ t.day AS d, coalesce(t.description, '') AS descr,
  CAST(t.amount AS DOUBLE) AS amount, t.direction, coalesce(t.counterparty_merged, '') AS cp, coalesce(CAST(t.balance AS DOUBLE), 0.0) AS balance, coalesce(t.original_index, 0) AS oi,
  e.entity_name, e.entity_type, a.account_number, a.account_name, a.bank_name,
  CASE WHEN t.direction = 'DR' THEN CAST(t.amount AS DOUBLE) ELSE 0.0 END AS debit, CASE WHEN t.direction = 'CR' THEN CAST(t.amount AS DOUBLE) ELSE 0.0 END AS credit
- FROM transactions t JOIN entities e USING (entity_id) JOIN accounts a ON a.account_id = t.account_id)"""
+ FROM T t JOIN entities e USING (entity_id) JOIN accounts a ON a.account_id = t.account_id)"""
