@@ -12,7 +12,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -99,16 +98,6 @@ def get_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df holds at most ``rows`` rows; reads no more than one row beyond that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its size is checked to be within ``rows``; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if small_enough(df, rows) else df
-
-
 _SHIPPED: set[str] = set()
 
 
